@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massloom.operators import grid, units
+from massloom.operators import grid, hotdeck, units
 from massloom.session import table
 
 
@@ -16,6 +16,18 @@ def p2_series(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular(table(spark, d, "chromatogram"), table(spark, d, "trace"))
 
 
+def p3_areas(spark: SparkSession, d: str) -> DataFrame:
+    return hotdeck.fill_areas(table(spark, d, "data_matrix"), table(spark, d, "sample_metadata"), table(spark, d, "sample_class"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return hotdeck.fill_classes(table(spark, d, "sample_metadata"), table(spark, d, "sample_class"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return hotdeck.found(p3_areas(spark, d), p3_classes(spark, d))
+
+
 def _feature_units(spark: SparkSession, d: str) -> DataFrame:
     return units.feature_units(table(spark, d, "feature_metadata"), table(spark, d, "study"))
 
@@ -32,5 +44,12 @@ def p5_traces(spark: SparkSession, d: str) -> DataFrame:
     return units.trace_units(table(spark, d, "chromatogram"), table(spark, d, "trace"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_series": p2_series, "p5_found": p5_found, "p5_features": p5_features, "p5_traces": p5_traces}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_series": p2_series, "p3_found": p3_found, "p3_areas": p3_areas, "p3_classes": p3_classes, "p5_found": p5_found, "p5_features": p5_features, "p5_traces": p5_traces}
+SQL: dict[str, str] = {
+    "p3_found": """
+        SELECT DISTINCT 'data_matrix' AS table_name, cell_id AS record_id FROM data_matrix
+        WHERE area IS NULL OR isnan(area) OR isinf(area) OR area < 0
+        UNION ALL
+        SELECT DISTINCT 'sample_metadata', sample_id FROM sample_metadata
+        WHERE class IS NULL OR lower(trim(class)) NOT IN (SELECT lower(trim(class)) FROM sample_class)""",
+}
