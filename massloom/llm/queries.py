@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import clusters, languages, tokens
+from massloom.llm import clusters, languages, matching, mixing, tokens
 from massloom.operators import units
-from massloom.session import table
+from massloom.session import cut, table
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -39,5 +39,27 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.label_segments(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match(_features(spark, d), table(spark, d, "sample_metadata"), table(spark, d, "partner_features"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("feature_id", "partner_id")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.count_tokens(table(spark, d, "documents").select("doc_id", "source", "votes", "text")).drop("text"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(_sized(spark, d), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized, target = _sized(spark, d), table(spark, d, "mix_target")
+    sizes = sized.select(mixing.source_key(F.col("source")).alias("source"), "tokens").filter("source is not null and tokens > 0")
+    return mixing.shares(mixing.draw(sized, target), sizes, target)
+
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p7_mix": p7_mix, "p7_shares": p7_shares, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
