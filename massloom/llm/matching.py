@@ -44,31 +44,39 @@ def polarity_of(c: Column) -> Column:
     return F.when(t.rlike(r"^(?:\+|1|\+1|pos.*|esi ?\(?\+\)?|p)$"), 1).when(t.rlike(r"^(?:-|-1|neg.*|esi ?\(?-\)?|n)$"), -1)
 
 
-def name_parts(label: Column) -> Column:
-    """struct(number, letters, batch, injection) of a label; all NULL if it names nothing.
+PARTS = ("number", "letters", "batch", "injection")
 
-    Order, separators, case, leading zeros, folders and endings don't matter.
+
+def with_name_parts(df: DataFrame, label: str, prefix: str = "") -> DataFrame:
+    """Adds number, letters, batch and injection of a label; all NULL if it names nothing.
+
+    Order, separators, case, leading zeros, folders and endings don't matter. Each step
+    is a column of its own, so that no pattern is planned or run more than once.
     """
-    t = F.lower(F.trim(label))
+    blank = lambda c: F.when(c != "", c)
+    d = df.withColumn("_t", F.lower(F.trim(F.col(label).cast("string"))))
     for _ in range(2):
-        t = F.trim(F.regexp_replace(t, _AROUND, ""))
-    t = F.when(t.rlike(_NO_NAME), F.lit(None)).otherwise(t)
-    sep = r"[\s_.\-/,\\]*"
-    batch = F.regexp_extract(t, r"(?:^|[^a-z0-9])b(?:atch)?" + r"[\s_]*0*(\d{1,3})(?![0-9])", 1)
-    inj = F.regexp_extract(t, r"(?:^|[^a-z])(?:injection|inj|run|s)[\s_]*0*(\d{1,5})(?![0-9])", 1)
-    # a bare number right before or after the batch is the injection
-    bare = F.regexp_extract(t, r"(?:^|[\s_.\-/,])0*(\d{1,3})" + r"[\s_.\-/,]+batch[\s_]*\d", 1)
-    inj = F.when(inj != "", inj).otherwise(bare)
-    rest = F.regexp_replace(t, r"(?:^|[^a-z0-9])b(?:atch)?[\s_]*\d{1,3}(?![0-9])", " ")
-    rest = F.regexp_replace(rest, r"(?:^|(?<=[^a-z]))(?:injection|inj|run|s)[\s_]*\d{1,5}(?![0-9])", " ")
-    named = r"([a-z0-9]*[a-z]{2}[a-z0-9]*?)0*(\d{1,6})(?![a-z0-9])"
-    letters = F.regexp_extract(rest, named, 1)
-    number = F.regexp_extract(rest, named, 2)
-    lone = F.regexp_extract(F.trim(rest), r"^0*(\d{1,6})(?![a-z0-9])", 1)
+        d = d.withColumn("_t", F.trim(F.regexp_replace("_t", _AROUND, "")))
+    d = d.withColumn("_t", F.when(F.col("_t").rlike(_NO_NAME), F.lit(None)).otherwise(F.col("_t")))
+    d = d.withColumn("_batch", F.regexp_extract("_t", r"(?:^|[^a-z0-9])b(?:atch)?[\s_]*0*(\d{1,3})(?![0-9])", 1))
+    d = d.withColumn("_inj", F.regexp_extract("_t", r"(?:^|[^a-z])(?:injection|inj|run|s)[\s_]*0*(\d{1,5})(?![0-9])", 1))
+    # a bare number right before the batch is the injection
+    d = d.withColumn("_bare", F.regexp_extract("_t", r"(?:^|[\s_.\-/,])0*(\d{1,3})[\s_.\-/,]+batch[\s_]*\d", 1))
+    d = d.withColumn("_rest", F.regexp_replace("_t", r"(?:^|[^a-z0-9])b(?:atch)?[\s_]*\d{1,3}(?![0-9])", " "))
+    d = d.withColumn("_rest", F.trim(F.regexp_replace("_rest", r"(?:^|(?<=[^a-z]))(?:injection|inj|run|s)[\s_]*\d{1,5}(?![0-9])", " ")))
+    d = d.withColumn("_m", F.regexp_extract("_rest", r"([a-z0-9]*[a-z]{2}[a-z0-9]*?)0*(\d{1,6})(?![a-z0-9])", 0))
+    d = d.withColumn("_letters", F.regexp_extract("_m", r"^([a-z0-9]*[a-z]{2}[a-z0-9]*?)0*(\d{1,6})$", 1)).withColumn("_number", F.regexp_extract("_m", r"^([a-z0-9]*[a-z]{2}[a-z0-9]*?)0*(\d{1,6})$", 2))
     # without letters, the first number is the study's unless it is the bare injection
-    own = F.when(number != "", number).when((lone != "") & (F.size(F.regexp_extract_all(rest, F.lit(r"(\d+)"))) > F.when(bare != "", 1).otherwise(0)), lone).otherwise(F.lit(""))
-    blank = lambda c: F.when(c != "", c)
-    return F.struct(blank(own).cast("long").alias("number"), blank(F.when(letters.rlike("^(?:batch|inj|run)$"), "").otherwise(letters)).alias("letters"), blank(batch).cast("long").alias("batch"), blank(inj).cast("long").alias("injection"))
+    d = d.withColumn("_lone", F.regexp_extract("_rest", r"^0*(\d{1,6})(?![a-z0-9])", 1)).withColumn("_count", F.size(F.regexp_extract_all("_rest", F.lit(r"(\d+)"))))
+    own = F.when(F.col("_number") != "", F.col("_number")).when((F.col("_lone") != "") & (F.col("_count") > F.when(F.col("_bare") != "", 1).otherwise(0)), F.col("_lone"))
+    made = {
+        "number": own.cast("long"),
+        "letters": blank(F.when(F.col("_letters").rlike("^(?:batch|inj|run)$"), F.lit("")).otherwise(F.col("_letters"))),
+        "batch": blank(F.col("_batch")).cast("long"),
+        "injection": F.when(F.col("_inj") != "", F.col("_inj")).otherwise(blank(F.col("_bare"))).cast("long"),
+    }
+    keep = [c for c in df.columns if c not in {prefix + x for x in PARTS}]
+    return d.select(*keep, *[made[x].alias(prefix + x) for x in PARTS])
 
 
 def feature_documents(features: DataFrame, samples: DataFrame) -> DataFrame:
@@ -77,7 +85,8 @@ def feature_documents(features: DataFrame, samples: DataFrame) -> DataFrame:
     ``features`` comes with rt_sec. A feature without an id, a mass or a retention is no
     document; repeated rows are one.
     """
-    names = samples.filter("sample_id is not null").groupBy(F.col("sample_id").alias("top_sample_id")).agg(F.min(F.trim("sample")).alias("_name")).withColumn("name", name_parts(F.col("_name"))).select("top_sample_id", "name.*")
+    named = samples.filter("sample_id is not null").groupBy(F.col("sample_id").alias("top_sample_id")).agg(F.min(F.trim("sample")).alias("_name"))
+    names = with_name_parts(named, "_name").drop("_name")
     f = features.filter(F.col("feature_id").isNotNull() & is_number(F.col("mz")) & is_number(F.col("rt_sec")))
     f = f.select(F.col("feature_id").cast("bigint").alias("feature_id"), "study", F.col("mz").alias("f_mz"), F.col("rt_sec").alias("f_rt"), polarity_of(F.col("polarity")).alias("f_pol"), F.col("top_sample_id")).distinct()
     f = f.join(names, "top_sample_id", "left")
@@ -87,10 +96,11 @@ def feature_documents(features: DataFrame, samples: DataFrame) -> DataFrame:
 def report_queries(reports: DataFrame) -> DataFrame:
     """Reports with mass, retention, polarity, label parts and what the label gives: full, part or none."""
     r = reports.filter(F.col("partner_id").isNotNull() & is_number(F.col("mz")) & is_number(F.col("rt_sec")))
-    r = r.select(F.col("partner_id").cast("bigint").alias("partner_id"), F.col("mz").alias("r_mz"), F.col("rt_sec").alias("r_rt"), polarity_of(F.col("polarity")).alias("r_pol"), name_parts(F.col("sample_label")).alias("q")).distinct()
-    given = [F.col(f"q.{x}").isNotNull() for x in ("number", "letters", "batch", "injection")]
+    r = r.select(F.col("partner_id").cast("bigint").alias("partner_id"), F.col("mz").alias("r_mz"), F.col("rt_sec").alias("r_rt"), polarity_of(F.col("polarity")).alias("r_pol"), "sample_label").distinct()
+    r = with_name_parts(r, "sample_label", "q_").drop("sample_label")
+    given = [F.col(f"q_{x}").isNotNull() for x in PARTS]
     kind = F.when(reduce(lambda a, b: a & b, given), "full").when(reduce(lambda a, b: a | b, given), "part").otherwise("none")
-    return r.withColumn("kind", kind).select("*", *[F.col(f"q.{x}").alias(f"q_{x}") for x in ("number", "letters", "batch", "injection")]).drop("q")
+    return r.withColumn("kind", kind)
 
 
 def _around() -> Column:
