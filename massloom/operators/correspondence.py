@@ -73,11 +73,11 @@ def species_count(features: DataFrame, sizes: DataFrame, fraction: float = 0.25,
 def unique_nearest(features: DataFrame, by: Sequence[str] = (), max_deviation: float = 3.0) -> DataFrame:
     """One species: the feature of each sample nearest to its cluster's mean, in standard deviations; others get -1.
 
-    Adds deviation and label. Ties go to the smaller mass.
+    Adds deviation, to six decimals, and label. Ties go to the smaller mass.
     """
     s = features.groupBy(*by, "cluster").agg(F.avg("mz").alias("_m"), F.stddev_pop("mz").alias("_sm"), F.avg("rt").alias("_r"), F.stddev_pop("rt").alias("_sr"))
     d = lambda c, m, sd: F.coalesce(F.abs(F.col(c) - F.col(m)) / F.nullif(F.col(sd), F.lit(0.0)), F.lit(0.0))
-    f = features.join(s, [*by, "cluster"]).withColumn("deviation", F.greatest(d("mz", "_m", "_sm"), d("rt", "_r", "_sr")))
+    f = features.join(s, [*by, "cluster"]).withColumn("deviation", F.round(F.greatest(d("mz", "_m", "_sm"), d("rt", "_r", "_sr")), 6))
     w = Window.partitionBy(*by, "cluster", "sample").orderBy("deviation", "mz", "rt")
     f = f.withColumn("_k", F.row_number().over(w))
     return f.withColumn("label", F.when((F.col("_k") == 1) & (F.col("deviation") <= max_deviation), F.col("cluster")).otherwise(F.lit(-1))).drop("_m", "_sm", "_r", "_sr", "_k")
@@ -116,6 +116,7 @@ def assign_species(features: DataFrame, key: str, max_deviation: float = 3.0) ->
 
 def match_features(features: DataFrame, key: str, mz_tol: float, rt_tol: float, fraction: float = 0.25, max_deviation: float = 3.0) -> DataFrame:
     """Correspondence end to end: (key, label), -1 for noise; labels count up over clusters and species."""
+    features = cut(features.select(key, "sample", "class", "mz", "rt"))
     sizes = features.select("class", "sample").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.min(F.bround(F.col("n") * fraction))).first()[0]
     c = dbscan(features, key, "mz", "rt", mz_tol, rt_tol, max(1, int(least or 1)))

@@ -86,15 +86,19 @@ def match_targets(signals: DataFrame, targets: DataFrame, tol: float, mode: str
 
 def unmatched(signals: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
     """Signals near no target."""
-    return signals.join(window_join(signals, targets, tol, closed=True).select(*signals.columns).distinct(), signals.columns, "left_anti")
+    return _by_seed(signals, targets, tol, "left_anti")
 
 
 def near_seeds(signals: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
     """Signals within tol of any seed."""
+    return _by_seed(signals, targets, tol, "left_semi")
+
+
+def _by_seed(signals: DataFrame, targets: DataFrame, tol: float, how: str) -> DataFrame:
     t = targets.select("mz_target", F.explode(F.sequence(F.floor((F.col("mz_target") - tol) / tol), F.floor((F.col("mz_target") + tol) / tol))).alias("_cell"))
     s = signals.withColumn("_cell", F.floor(F.col("mz") / tol))
     cond = (s["_cell"] == t["_cell"]) & (F.abs(s["mz"] - t["mz_target"]) <= tol)
-    return s.join(t, cond, "left_semi").drop("_cell")
+    return s.join(t, cond, how).drop("_cell")
 
 
 def closest_scan(signals: DataFrame, times: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
