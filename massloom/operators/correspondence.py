@@ -17,7 +17,7 @@ from massloom.session import cut
 
 
 def dbscan(points: DataFrame, key: str, x: str, y: str, eps_x: float, eps_y: float, least: int) -> DataFrame:
-    """Density clusters under the maximum norm: (key, cluster), -1 for noise; clusters named by their smallest core key.
+    """Density clusters under the maximum norm: (key, cluster), -1 for noise; clusters named by their smallest core key (keys are numbers from 0).
 
     Neighbours meet on grid cells. A cell of eps side whose points number ``least`` or
     more needs no pairs to know that they are all core; counting pairs is left to

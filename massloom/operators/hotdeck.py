@@ -54,7 +54,7 @@ def donors(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, feat
         # each attribute that differs, or is unknown on one side, counts one; the order counts by its distance
         apart = [F.when(F.col(c).eqNullSafe(F.col(f"_d_{c}")) & F.col(c).isNotNull(), 0.0).otherwise(1.0) for c in features]
         gap = F.coalesce(F.abs(F.col(order) - F.col(f"_d_{order}")), F.lit(100.0))
-        found.append(asked.join(give, cond).select("record", F.col("_donor").alias("donor"), F.col("_value").alias("value"), (reduce(lambda a, b: a + b, apart) + gap / (gap + 10.0)).alias("distance")))
+        found.append(asked.join(give, cond).select("record", F.col("_donor").alias("donor"), F.col("_value").alias("value"), (reduce(lambda a, b: a + b, apart, F.lit(0.0)) + gap / (gap + 10.0)).alias("distance")))
     return reduce(DataFrame.unionByName, found)
 
 
