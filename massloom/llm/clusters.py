@@ -21,8 +21,9 @@ from massloom.session import cut
 
 SIDE = 4
 BANDS = 24
-#: cells at most two apart either way share 2 x 2 of 28 cells: every pair of their points is alike
-ALIKE = 4.0 / 28.0
+#: cells at most two apart share two of six steps of a coordinate: if they do so in both
+#: coordinates, every pair of their points is alike
+ALIKE = 2.0 / 6.0
 
 
 def _tokens() -> Column:
@@ -41,13 +42,17 @@ def cells(points: DataFrame, kind: str, x: str, y: str, tol_x: float, tol_y: flo
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of cells (a, b, jaccard) that share a band and whose sets overlap by ALIKE at least."""
+    """Pairs of cells (a, b, jaccard) that share a band and whose sets overlap by ALIKE at least in each coordinate.
+
+    jaccard is that of the whole sets.
+    """
     banded = nodes.withColumn("tokens", _tokens()).select("cell", "kind", "i", "j", F.posexplode(F.array(*[_least_hash(b) for b in range(BANDS)])).alias("band", "least"))
     bucket = banded.groupBy("band", "least").agg(F.collect_set(F.struct("cell", "kind", "i", "j")).alias("c")).filter(F.size("c") > 1)
     pairs = bucket.select(F.explode("c").alias("p"), "c").select("p", F.explode("c").alias("q")).filter(F.col("p.cell") < F.col("q.cell")).distinct()
     over = [F.greatest(F.lit(0), SIDE - F.abs(F.col(f"p.{d}") - F.col(f"q.{d}"))) for d in ("i", "j")]
-    both = F.when(F.col("p.kind") == F.col("q.kind"), over[0] * over[1]).otherwise(0)
-    return pairs.select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b"), (both / (2 * SIDE * SIDE - both)).alias("jaccard")).filter(F.col("jaccard") >= ALIKE - 1e-9)
+    both = over[0] * over[1]
+    alike = (F.col("p.kind") == F.col("q.kind")) & (over[0] / (2 * SIDE - over[0]) >= ALIKE - 1e-9) & (over[1] / (2 * SIDE - over[1]) >= ALIKE - 1e-9)
+    return pairs.filter(alike).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b"), (both / (2 * SIDE * SIDE - both)).alias("jaccard"))
 
 
 def _unlinked(nodes: DataFrame, member: DataFrame) -> DataFrame:
