@@ -103,20 +103,18 @@ def _tick(dec: Column, unit: str) -> Column:
     return F.when(dec > d, 14.0 + 2.0 * (dec - d)).when(dec < d, 4.6 * (d - dec)).when(dec == d, F.lit(0.2))
 
 
-def best_unit(df: DataFrame, costs: dict[str, list[Column]], keep_scores: bool = False) -> DataFrame:
-    """Adds unit, unit_margin and unit_unique from lists of costs for each unit."""
-    total = {u: reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cs]) for u, cs in costs.items()}
-    df = df.withColumn("_scores", F.array_sort(F.array(*[F.struct(t.cast("double").alias("cost"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, (u, t) in enumerate(total.items())])))
-    df = (
-        df.withColumn("unit", F.col("_scores")[0]["unit"])
-        .withColumn("unit_margin", F.col("_scores")[1]["cost"] - F.col("_scores")[0]["cost"])
+def best_unit(df: DataFrame, costs: dict[str, list[Column]]) -> DataFrame:
+    """Adds unit, unit_margin and unit_unique, and each unit's sum of costs as _cost_<unit>."""
+    for u, cs in costs.items():
+        df = df.withColumn(f"_cost_{u}", reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cs]).cast("double"))
+    ranked = F.sort_array(F.array(*[F.struct(F.col(f"_cost_{u}").alias("cost"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(costs)]))
+    df = df.withColumn("_ranked", ranked)
+    return (
+        df.withColumn("unit", F.col("_ranked")[0]["unit"])
+        .withColumn("unit_margin", F.col("_ranked")[1]["cost"] - F.col("_ranked")[0]["cost"])
         .withColumn("unit_unique", F.col("unit_margin") >= UNIQUE_MARGIN)
+        .drop("_ranked")
     )
-    return df if keep_scores else df.drop("_scores")
-
-
-def _cost_of(scores: str, unit: str) -> Column:
-    return F.filter(scores, lambda x: x["unit"] == unit)[0]["cost"]
 
 
 def factor(unit: Column) -> Column:
@@ -170,13 +168,13 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
         ]
         for u, s in UNITS.items()
     }
-    first = best_unit(df, own, keep_scores=True).withColumnRenamed("_scores", "_own").drop("unit", "unit_margin", "unit_unique")
+    first = best_unit(df, own)
     # what the firmly settled features of the same export were written in
-    votes = first.filter(F.col("_rt").isNotNull() & (F.col("_own")[1]["cost"] - F.col("_own")[0]["cost"] >= FIRM_MARGIN)).groupBy("study").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_own")[0]["unit"] == u).alias(f"_n_{u}") for u in UNITS])
+    firm = F.col("_rt").isNotNull() & (F.col("unit_margin") >= FIRM_MARGIN)
+    votes = first.filter(firm).groupBy("study").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("unit") == u).alias(f"_n_{u}") for u in UNITS])
     second = first.join(votes, "study", "left")
     share = {u: -2.0 * F.log((F.col(f"_n_{u}") + 0.2) / (F.col("_n") + 0.8)) for u in UNITS}
-    own_cost = {u: _cost_of("_own", u) for u in UNITS}
-    out = best_unit(second, {u: [own_cost[u], share[u]] for u in UNITS})
+    out = best_unit(second, {u: [F.col(f"_cost_{u}"), share[u]] for u in UNITS})
     has = is_number(F.col("rt"))
     out = out.withColumn("unit", F.when(has, F.col("unit"))).withColumn("unit_margin", F.when(has, F.col("unit_margin"))).withColumn("unit_unique", F.when(has, F.col("unit_unique")))
     for c in ("rt", "rt_start", "rt_end"):
