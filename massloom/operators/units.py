@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massloom.session import cut
+
 #: seconds of each candidate unit
 UNITS = {"s": 1.0, "min": 60.0, "ms": 0.001, "h": 3600.0}
 #: decimals with which a millisecond clock is written in each unit
@@ -75,13 +77,10 @@ def unit_of_text(c: Column) -> Column:
     return out
 
 
-def decimals(c: Column, most: int = 8) -> Column:
-    """Number of decimals a value was written with; NULL for no finite value."""
-    out = F.lit(most)
-    for k in range(most - 1, -1, -1):
-        scaled = c * float(10**k)
-        out = F.when(F.abs(scaled - F.rint(scaled)) <= 1e-5 + F.abs(scaled) * 1e-12, F.lit(k)).otherwise(out)
-    return F.when(is_number(c), out)
+def decimals(c: Column) -> Column:
+    """Number of decimals, eight at most, that a value was written with; NULL for no finite value."""
+    written = F.split_part(c.try_cast("decimal(20,8)").cast("string"), F.lit("."), F.lit(2))
+    return F.when(is_number(c), F.coalesce(F.length(F.regexp_replace(written, "0+$", "")), F.lit(0)))
 
 
 def is_number(c: Column) -> Column:
@@ -168,7 +167,8 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
         ]
         for u, s in UNITS.items()
     }
-    first = best_unit(df, own)
+    # written once: the patterns run once, and no later filter drags these expressions along
+    first = cut(best_unit(df, own))
     # what the firmly settled features of the same export were written in
     firm = F.col("_rt").isNotNull() & (F.col("unit_margin") >= FIRM_MARGIN)
     votes = first.filter(firm).groupBy("study").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("unit") == u).alias(f"_n_{u}") for u in UNITS])
@@ -240,7 +240,8 @@ def trace_units(readings: DataFrame, trace: DataFrame) -> DataFrame:
         ]
         for u, s in UNITS.items()
     }
-    out = best_unit(df, costs)
+    # a few rows for each trace
+    out = cut(best_unit(df, costs).select("trace_id", "_declared", "_members", "_s1", "unit", "unit_margin", "unit_unique"))
     return out.select("trace_id", "_declared", F.explode("_members").alias("m"), F.col("_s1").alias("last_scan"), "unit", "unit_margin", "unit_unique").select(
         "trace_id", F.concat_ws("|", F.coalesce("_declared", F.lit("?")), F.col("m.dec").cast("string")).alias("class"), F.col("m.n").alias("n"), "last_scan", "unit", "unit_margin", "unit_unique"
     )
