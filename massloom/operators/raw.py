@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.graph import islands
 from massloom.operators.metrics import ratio
+from massloom.operators.units import is_number
 
 
 def scans(signals: DataFrame, ms_level: int | None = None, start: int = 0, end: int | None = None, start_time: float = 0.0, end_time: float | None = None) -> DataFrame:
@@ -174,65 +176,64 @@ def neighbourhood(signals: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- regions of interest
 
-ROI = "sample string, roi_index int, scan array<int>, time array<double>, mz array<double>, spint array<double>"
-
-
 class _Traces:
-    """Traces that are open while the scans of a run pass by; a scan costs one sorted merge."""
+    """Traces that are open while the scans of a run pass by; a scan costs one sorted merge.
+
+    Scans are given by their number among all scans of the run, so that scans without
+    any signal here count as missing too.
+    """
 
     def __init__(self, tol: float, max_missing: int, min_length: int, min_intensity: float, targets: np.ndarray | None):
-        self.tol, self.max_missing, self.min_length, self.min_intensity, self.targets = tol, max_missing, min_length, min_intensity, targets
-        n = 0 if targets is None else len(targets)
-        self.mean = np.array([] if targets is None else np.sort(targets), float)
-        self.points: list[list[tuple[int, float, float, float]]] = [[] for _ in range(n)]
-        self.miss = np.zeros(n, int)
-        self.done: list[list[tuple[int, float, float, float]]] = []
-
-    def add(self, scan: int, time: float, mz: np.ndarray, spint: np.ndarray) -> None:
-        order = np.argsort(mz, kind="stable")
-        mz, spint = mz[order], spint[order]
+        self.tol, self.max_missing, self.min_length, self.min_intensity = tol, max_missing, min_length, min_intensity
+        self.targeted = targets is not None
+        self.mean = np.sort(targets) if self.targeted else np.zeros(0)
+        self.points: list[list[tuple[int, float, float]]] = [[] for _ in self.mean]
+        self.done: list[list[tuple[int, float, float]]] = []
+
+    def expire(self, before: int) -> None:
+        """Closes what has been without a signal for more than max_missing scans."""
+        late = [bool(p) and before - p[-1][0] > self.max_missing for p in self.points]
+        if not any(late):
+            return
+        for p, x in zip(self.points, late):
+            if x:
+                self.close(p)
+        if self.targeted:
+            self.points = [[] if x else p for p, x in zip(self.points, late)]
+        else:
+            self.mean = self.mean[~np.array(late)]
+            self.points = [p for p, x in zip(self.points, late) if not x]
+
+    def add(self, scan: int, mz: np.ndarray, spint: np.ndarray) -> None:
+        self.expire(scan - 1)
         hit = np.full(len(mz), -1)
         if len(self.mean) and len(mz):
-            right = np.searchsorted(self.mean, mz)
+            right = np.minimum(np.searchsorted(self.mean, mz), len(self.mean) - 1)
             left = np.maximum(right - 1, 0)
-            right = np.minimum(right, len(self.mean) - 1)
-            near = np.where(mz - self.mean[left] < self.mean[right] - mz, left, right)
+            near = np.where(np.abs(mz - self.mean[left]) < np.abs(self.mean[right] - mz), left, right)
             hit = np.where(np.abs(self.mean[near] - mz) <= self.tol, near, -1)
-        got = np.unique(hit[hit >= 0])
-        for k in got:
+        for k in np.unique(hit[hit >= 0]):
             mine = hit == k
-            self.points[k].append((scan, time, float(mz[mine].mean()), float(spint[mine].sum())))
-            if self.targets is None:
-                p = self.points[k]
-                self.mean[k] += (p[-1][2] - self.mean[k]) / len(p)
-        self.miss += 1
-        self.miss[got] = 0
-        over = np.flatnonzero(self.miss > self.max_missing)
-        if self.targets is None:
-            for k in over:
-                self.close(self.points[k])
-            new = np.flatnonzero(hit < 0)
-            open_ = [k for k in range(len(self.points)) if k not in set(over.tolist())]
-            mean = np.concatenate([self.mean[open_], mz[new]])
-            points = [self.points[k] for k in open_] + [[(scan, time, float(mz[i]), float(spint[i]))] for i in new]
-            miss = np.concatenate([self.miss[open_], np.zeros(len(new), int)])
+            self.points[k].append((scan, float(mz[mine].mean()), float(spint[mine].sum())))
+            if not self.targeted:
+                self.mean[k] += (self.points[k][-1][1] - self.mean[k]) / len(self.points[k])
+        if not self.targeted and (hit < 0).any():
+            new = hit < 0
+            mean = np.concatenate([self.mean, mz[new]])
+            points = self.points + [[(scan, float(m), float(y))] for m, y in zip(mz[new], spint[new])]
             rank = np.argsort(mean, kind="stable")
-            self.mean, self.points, self.miss = mean[rank], [points[i] for i in rank], miss[rank]
-        else:
-            for k in over:
-                self.close(self.points[k])
-                self.points[k] = []
+            self.mean, self.points = mean[rank], [points[i] for i in rank]
 
-    def close(self, points: list[tuple[int, float, float, float]]) -> None:
-        if len(points) >= self.min_length and max((p[3] for p in points), default=0.0) >= self.min_intensity:
+    def close(self, points: list[tuple[int, float, float]]) -> None:
+        if len(points) >= self.min_length and max(p[2] for p in points) >= self.min_intensity:
             self.done.append(points)
 
-    def end(self) -> list[list[tuple[int, float, float, float]]]:
+    def end(self) -> list[list[tuple[int, float, float]]]:
         for p in self.points:
             if p:
                 self.close(p)
         self.points = []
-        return sorted(self.done, key=lambda p: (p[0][0], p[0][2]))
+        return sorted(self.done, key=lambda p: (p[0][0], p[0][1]))
 
 
 def regions(signals: DataFrame, tol: float = 0.01, max_missing: int = 1, min_length: int = 10, min_intensity: float = 0.0, targets: Sequence[float] | None = None, pad: int = 2) -> DataFrame:
@@ -240,34 +241,39 @@ def regions(signals: DataFrame, tol: float = 0.01, max_missing: int = 1, min_len
 
     A signal joins the nearest open trace within tol of its running mean mass; what joins
     none begins one; a trace ends after more than max_missing scans without a signal.
-    Linking depends on the order of scans, so one run is one group. Gaps inside and
-    ``pad`` scans on either side hold NULL intensities.
+    Returns (sample, roi_index, scan, time, mz, spint), arrays over the scans of the region,
+    with NULL in gaps and in ``pad`` scans on either side.
+
+    Linking depends on the order of scans but never crosses a gap in mass wider than tol,
+    so a run is divided at such gaps: the unit of work is one island of mass of one run,
+    and a run of any size spreads over many tasks.
     """
     wanted = None if targets is None else np.array(list(targets), float)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         traces = _Traces(tol, max_missing, min_length, min_intensity, wanted)
-        times: dict[int, float] = {}
-        run = pdf.sort_values(["scan", "mz"], kind="stable")
-        scan_no, time, mz, spint = (run[c].to_numpy(float) for c in ("scan", "time", "mz", "spint"))
-        ok = np.isfinite(mz) & np.isfinite(spint)
-        edges = np.flatnonzero(np.diff(scan_no)) + 1
-        for at in np.split(np.arange(len(run)), edges):
-            first = time[at].min()
-            times[int(scan_no[at[0]])] = float(first)
-            use = at[ok[at]]
-            traces.add(int(scan_no[at[0]]), float(first), mz[use], spint[use])
-        axis = np.array(sorted(times))
-        rows = []
-        for i, p in enumerate(traces.end()):
-            a, b = np.searchsorted(axis, p[0][0]), np.searchsorted(axis, p[-1][0])
-            span = axis[max(0, a - pad) : b + pad + 1]
-            by = {x[0]: x for x in p}
-            rows.append((pdf["sample"].iloc[0], i, [int(s) for s in span], [times[s] for s in span], [by[s][2] if s in by else None for s in span], [by[s][3] if s in by else None for s in span]))
-        return pd.DataFrame(rows, columns=["sample", "roi_index", "scan", "time", "mz", "spint"])
-
-    need = signals.select(F.col("sample").cast("string").alias("sample"), F.col("scan").cast("int").alias("scan"), F.col("time").cast("double").alias("time"), F.col("mz").cast("double").alias("mz"), F.col("spint").cast("double").alias("spint"))
-    return need.groupBy("sample").applyInPandas(build, ROI)
+        run = pdf.sort_values(["_no", "mz"], kind="stable")
+        no, mz, spint = run["_no"].to_numpy(), run["mz"].to_numpy(float), run["spint"].to_numpy(float)
+        for at in np.split(np.arange(len(run)), np.flatnonzero(np.diff(no)) + 1):
+            traces.add(int(no[at[0]]), mz[at], spint[at])
+        rows = [(run["sample"].iloc[0], [x[0] for x in p], [x[1] for x in p], [x[2] for x in p]) for p in traces.end()]
+        return pd.DataFrame(rows, columns=["sample", "no", "mz", "spint"])
+
+    s = signals.select(F.col("sample").cast("string").alias("sample"), F.col("scan").cast("int").alias("scan"), F.col("time").cast("double").alias("time"), F.col("mz").cast("double").alias("mz"), F.col("spint").cast("double").alias("spint"))
+    # one row for each scan of each run
+    axis = s.groupBy("sample", "scan").agg(F.min("time").alias("time"))
+    axis = axis.withColumn("_no", F.row_number().over(Window.partitionBy("sample").orderBy("scan")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("sample")))
+    ok = s.filter(is_number(F.col("mz")) & is_number(F.col("spint"))).drop("time").join(axis.select("sample", "scan", "_no"), ["sample", "scan"])
+    parted = islands(ok, ["sample"], "mz", tol, "_island", max(1.0, 100 * tol))
+    found = parted.select("sample", "_island", "_no", "mz", "spint").groupBy("sample", "_island").applyInPandas(build, "sample string, no array<int>, mz array<double>, spint array<double>")
+    order = Window.partitionBy("sample").orderBy(F.col("no")[0], F.col("mz")[0], F.col("mz"))
+    found = found.withColumn("roi_index", (F.row_number().over(order) - 1).cast("int"))
+    size = axis.groupBy("sample").agg(F.max("_n").alias("_n"))
+    span = found.join(size, "sample").select("sample", "roi_index", F.explode(F.sequence(F.greatest(F.element_at("no", 1) - pad, F.lit(0)), F.least(F.element_at("no", -1) + pad, F.col("_n").cast("int") - 1))).alias("_no"))
+    points = found.select("sample", "roi_index", F.explode(F.arrays_zip("no", "mz", "spint")).alias("p")).select("sample", "roi_index", F.col("p.no").alias("_no"), "p.mz", "p.spint")
+    full = span.join(axis.select("sample", "_no", "scan", "time"), ["sample", "_no"]).join(points, ["sample", "roi_index", "_no"], "left")
+    rows = full.groupBy("sample", "roi_index").agg(F.array_sort(F.collect_list(F.struct("scan", "time", "mz", "spint"))).alias("p"))
+    return rows.select("sample", "roi_index", *[F.col(f"p.{c}").alias(c) for c in ("scan", "time", "mz", "spint")])
 
 
 def targeted_runs(signals: DataFrame, targets: DataFrame, tol: float, max_missing: int = 1, by: str = "sample") -> DataFrame:
