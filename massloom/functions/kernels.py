@@ -382,3 +382,61 @@ def knn_fill(x: np.ndarray, k: int) -> np.ndarray:
             near = near[np.isfinite(dist[i, near])]
             out[i, j] = x[near, j].mean() if len(near) else x[have, j].mean()
     return out
+
+
+def ward_order(squared: np.ndarray) -> list[int]:
+    """Leaves of Ward's clustering from squared distances, each merge putting the smaller index first."""
+    n = len(squared)
+    d = np.array(squared, float)
+    np.fill_diagonal(d, np.inf)
+    size = np.ones(n)
+    leaves = {i: [i] for i in range(n)}
+    for _ in range(n - 1):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        a, b, best = size[i], size[j], d[i, j]
+        live = [k for k in leaves if k not in (i, j)]
+        k = np.array(live, int)
+        if len(k):
+            new = ((a + size[k]) * d[i, k] + (b + size[k]) * d[j, k] - size[k] * best) / (a + b + size[k])
+            d[i, k] = d[k, i] = new
+        d[j, :] = d[:, j] = np.inf
+        size[i] = a + b
+        leaves[i] += leaves.pop(j)
+    return next(iter(leaves.values())) if n else []
+
+
+def interpolated_level(x: np.ndarray, y: np.ndarray, at: np.ndarray, how: str = "linear") -> np.ndarray:
+    """Level between control samples, constant beyond them: linear, or a natural cubic spline."""
+    order = np.argsort(x, kind="stable")
+    x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
+    x, first = np.unique(x, return_index=True)
+    y = y[first]
+    if how == "linear" or len(x) < 3:
+        return np.interp(at, x, y)
+    h = np.diff(x)
+    n = len(x)
+    a = np.zeros((n, n))
+    r = np.zeros(n)
+    a[0, 0] = a[-1, -1] = 1
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        r[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    c = np.linalg.solve(a, r)
+    q = np.clip(at, x[0], x[-1])
+    k = np.clip(np.searchsorted(x, q, side="right") - 1, 0, n - 2)
+    t = q - x[k]
+    b = (y[k + 1] - y[k]) / h[k] - h[k] * (2 * c[k] + c[k + 1]) / 3
+    return y[k] + b * t + c[k] * t**2 + (c[k + 1] - c[k]) / (3 * h[k]) * t**3
+
+
+def profile_sum(times: list[np.ndarray], spints: list[np.ndarray], signs: list[float], tol: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Signed sum of profile spectra on the union of their masses, linear in between; what is above 0."""
+    if not times:
+        return np.zeros(0), np.zeros(0)
+    grid = np.sort(np.concatenate(times))
+    grid = grid[np.concatenate([[True], np.diff(grid) > tol])] if len(grid) else grid
+    total = np.zeros(len(grid))
+    for m, y, s in zip(times, spints, signs):
+        if len(m):
+            total += s * np.interp(grid, m, y, left=0.0, right=0.0)
+    return grid[total > 0], total[total > 0]

@@ -89,3 +89,28 @@ def median_ratio(matrix: DataFrame, qc: Sequence[str], by: Sequence[str] = ()) -
     all_, each = q.groupBy(*by, "feature").agg(F.avg("value").alias("_all")), q.groupBy(*by, "feature", "batch").agg(F.avg("value").alias("_batch"))
     factor = each.join(all_, [*by, "feature"]).groupBy(*by, "batch").agg(F.median(ratio(F.col("_all"), F.col("_batch"))).alias("factor"))
     return matrix.join(factor, [*by, "batch"], "left").withColumn("value", F.col("value") * F.coalesce("factor", F.lit(1.0)))
+
+
+def correct_by_template(matrix: DataFrame, qc: Sequence[str], by: Sequence[str] = (), how: str = "linear", method: str = "multiplicative", first_n: int | None = None, frac: float | None = None) -> DataFrame:
+    """Correction by the level between smoothed controls: multiplied or shifted to their mean (of the first ones).
+
+    A group is one feature in one batch, as in correct_drift.
+    """
+    if method not in ("multiplicative", "additive") or how not in ("linear", "splines"):
+        raise ValueError("method is multiplicative or additive, how is linear or splines")
+    keys = [*by, "batch", "feature"]
+    m = matrix.select(*keys, "sample", F.col("ord").cast("double").alias("ord"), "value", F.coalesce(F.col("class").isin(list(qc)), F.lit(False)).alias("is_qc"))
+    schema = m.drop("is_qc").schema
+
+    def correct(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ord", "sample"])
+        x, y = pdf["ord"].to_numpy(float), pdf["value"].to_numpy(float)
+        use = pdf["is_qc"].to_numpy(bool) & np.isfinite(y) & np.isfinite(x)
+        if use.sum() >= 4:
+            smooth = kernels.lowess(x[use], y[use], frac or kernels.best_frac(x[use], y[use]))
+            level = kernels.interpolated_level(x[use], smooth, x, how)
+            mean = smooth[:first_n].mean() if first_n else smooth.mean()
+            pdf["value"] = np.maximum(y * np.divide(mean, level, out=np.zeros_like(level), where=level > 0) if method == "multiplicative" else y + mean - level, 0)
+        return pdf.drop(columns="is_qc")
+
+    return m.groupBy(*keys).applyInPandas(correct, schema)

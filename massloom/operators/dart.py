@@ -294,3 +294,84 @@ def recovery(features: DataFrame, references: DataFrame, max_ppm: float) -> Data
     j = features.select("feature", "mz").withColumn("_c", F.floor(F.col("mz") / cell)).join(t, "_c").withColumn("_d", F.abs(F.col("mz") - F.col("mz_target"))).filter(F.col("_d") <= F.col("_w"))
     best = j.groupBy("target").agg(F.min(F.struct("_d", "feature", "mz")).alias("b"))
     return references.join(best, "target", "left").select("target", "mz_target", F.col("b.feature").alias("feature"), (F.col("b._d") / F.col("mz_target") * 1e6).alias("ppm"))
+
+
+def embedding(matrix: DataFrame, components: int = 2, scaling: bool = True) -> DataFrame:
+    """Scores (sample, component, score) of the principal components, missing as 0, features standardised."""
+    m = matrix.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    if scaling:
+        s = m.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+        m = m.join(s, "feature").withColumn("value", F.coalesce(ratio(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
+    return metrics.pca(m, components)[0]
+
+
+def leaf_order(matrix: DataFrame, axis: str = "sample", most: int = 2000) -> DataFrame:
+    """(axis, position): order of Ward's hierarchical clustering of standardised rows, missing as 0.
+
+    A picture's order: refused for more than ``most`` rows, whose distances come to the driver.
+    """
+    spark = matrix.sparkSession
+    other = "feature" if axis == "sample" else "sample"
+    m = matrix.select(F.col(axis).alias("r"), F.col(other).alias("c"), F.coalesce("value", F.lit(0.0)).alias("v"))
+    s = m.groupBy("c").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    z = m.join(s, "c").select("r", "c", F.coalesce(ratio(F.col("v") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("v"))
+    names = [x[0] for x in z.select("r").distinct().orderBy("r").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} rows to order")
+    at = {x: i for i, x in enumerate(names)}
+    dot = np.zeros((len(names), len(names)))
+    pairs = z.withColumnsRenamed({"r": "a", "v": "va"}).join(z.withColumnsRenamed({"r": "b", "v": "vb"}), "c").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
+    for r in pairs.collect():
+        dot[at[r["a"]], at[r["b"]]] = dot[at[r["b"]], at[r["a"]]] = r["s"]
+    sq = np.diag(dot)
+    order = kernels.ward_order(np.maximum(sq[:, None] + sq - 2 * dot, 0.0))
+    kind = dict(matrix.dtypes)[axis]
+    return spark.createDataFrame([(names[i], k) for k, i in enumerate(order)], f"{axis} {kind}, position int")
+
+
+def drill_down(signals: DataFrame, brackets: DataFrame, feature: object) -> DataFrame:
+    """Signals of one bracketed feature with their deviation in ppm from its mean, and each sample's sum and mean."""
+    b = brackets.filter(F.col("feature") == F.lit(feature)).select("feature", "mz_min", "mz_mean", "mz_max")
+    hit = signals.join(b, F.col("mz").between(F.col("mz_min"), F.col("mz_max"))).withColumn("ppm", (F.col("mz") - F.col("mz_mean")) / F.col("mz_mean") * 1e6)
+    w = Window.partitionBy("sample")
+    return hit.withColumn("sample_sum", F.sum("spint").over(w)).withColumn("sample_mean", F.avg("spint").over(w))
+
+
+def process(signals: DataFrame, samples: DataFrame, references: DataFrame | None = None, top_n: int | None = None, gap_ppm: float = 30.0, least_signals: int = 5, qc: Sequence[str] = (), blanks: Sequence[str] = (), study: Sequence[str] = ()) -> DataFrame:
+    """The workflow end to end: scans chosen, masses shifted, consensus, brackets, matrix, batches, blanks.
+
+    ``samples`` has sample, class and batch. Returns the long matrix with its metadata.
+    """
+    from massloom.operators.batch import median_ratio
+
+    s = top_scans(signals, top_n)
+    if references is not None:
+        s = correct_masses(s, references, 0.05)
+    s = cut_table(s)
+    spectra = consensus(s, gap_ppm, least_signals=least_signals)
+    m = bracket_matrix(bracket(spectra), s).join(samples, "sample", "left")
+    if qc:
+        m = median_ratio(m, qc)
+    if blanks and study:
+        keep = blank_test(m, blanks, study).filter("keep").select("feature")
+        m = m.join(keep, "feature", "left_semi")
+    return m
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    from massloom.session import cut
+
+    return cut(df)
+
+
+def sweep(run, settings: Sequence[dict]) -> list[dict]:
+    """Runs a workflow for each set of parameters; a row with the number of features, or the error, of each."""
+    out = []
+    for s in settings:
+        try:
+            m = run(**s)
+            r = m.agg(F.countDistinct("feature").alias("features"), F.countDistinct("sample").alias("samples"), F.count("value").alias("values")).first()
+            out.append({**s, **r.asDict(), "error": None})
+        except Exception as e:  # a failing set must not end the sweep
+            out.append({**s, "features": None, "samples": None, "values": None, "error": str(e)[:200]})
+    return out

@@ -48,14 +48,9 @@ def occupied(readings: DataFrame) -> DataFrame:
     return (
         once.withColumn("period_no", k)
         .groupBy("trace_id", "grid_seconds", "period_no")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("y").alias("total"),
-            F.min("t").alias("t0"),
-            F.min_by("y", F.struct("t", "scan", "y")).alias("y0"),
-            F.max("t").alias("t1"),
-            F.max_by("y", F.struct("t", "scan", "y")).alias("y1"),
-        )
+        # the outermost readings are carried once each: that is most of what is shuffled here
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.min(F.struct("t", "y")).alias("_lo"), F.max(F.struct("t", "y")).alias("_hi"))
+        .select("trace_id", "grid_seconds", "period_no", "n", "total", F.col("_lo.t").alias("t0"), F.col("_lo.y").alias("y0"), F.col("_hi.t").alias("t1"), F.col("_hi.y").alias("y1"))
     )
 
 

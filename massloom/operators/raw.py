@@ -291,3 +291,20 @@ def targeted_runs(signals: DataFrame, targets: DataFrame, tol: float, max_missin
 def as_signals(df: DataFrame, sample: str, scan: Column, time: Column, mz: str, spint: str) -> DataFrame:
     """Names the columns of raw signals."""
     return df.select(F.col(sample).alias("sample"), scan.alias("scan"), time.alias("time"), F.col(mz).alias("mz"), F.col(spint).alias("spint"))
+
+
+def accumulate_profile(spectra: DataFrame, start: float, end: float, left: float, right: float) -> DataFrame:
+    """Profile spectra (sample, time, mz, spint arrays) over [start, end) minus those around it in [left, right).
+
+    Scans are summed on the union of their masses, at once for each sample: the window
+    in time bounds the group.
+    """
+    from massloom.functions.kernels import profile_sum
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs = [1.0 if start <= t < end else -1.0 for t in pdf["time"]]
+        m, y = profile_sum([np.array(x, float) for x in pdf["mz"]], [np.array(x, float) for x in pdf["spint"]], signs)
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "mz": [m.tolist()], "spint": [y.tolist()]})
+
+    s = spectra.filter((F.col("time") >= left) & (F.col("time") < right)).select(F.col("sample").cast("string").alias("sample"), "time", "mz", "spint")
+    return s.groupBy("sample").applyInPandas(run, "sample string, mz array<double>, spint array<double>")

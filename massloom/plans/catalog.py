@@ -374,9 +374,9 @@ def mat_merge_close(spark, d):
     return matrix.merge_close(long_matrix(spark, d), pairs)
 
 
-@query("mat_select_features", "SELECT feature_id, mz, rt FROM f WHERE abs(mz - 380.5244) < 0.01 AND abs(rt - 400.0) < 200")
+@query("mat_select_features", "SELECT feature_id, mz, rt FROM f WHERE abs(mz - 145.4306) < 0.05 AND abs(rt - 300.0) < 300")
 def mat_select_features(spark, d):
-    return matrix.select_features(points(spark, d), 380.5244, 400.0, 0.01, 200.0).select("feature_id", "mz", "rt")
+    return matrix.select_features(points(spark, d), 145.4306, 300.0, 0.05, 300.0).select("feature_id", "mz", "rt")
 
 
 @query("mat_remove", "SELECT feature, count(*) AS n FROM m WHERE sample NOT IN (SELECT sample FROM s WHERE class = 'blank') GROUP BY 1")

@@ -325,3 +325,41 @@ def raw_centroids(spark, d):
 @query("raw_unmatched", "SELECT sample, count(*) AS n FROM sp WHERE NOT EXISTS (SELECT 1 FROM q WHERE abs(sp.mz - q.mz_target) <= 0.05) GROUP BY 1")
 def raw_unmatched(spark, d):
     return raw.unmatched(spectra(spark, d), targets(spark), 0.05).groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _one_study(spark, d):
+    """The study that holds the fewest injections with a name: pictures are of one study."""
+    m = long_matrix(spark, d)
+    first = catalog.samples(spark, d).groupBy("study").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct("n", "study")).alias("s")).select(F.col("s.study").alias("study"))
+    return m.join(first, "study", "left_semi")
+
+
+@query("dart_embedding")
+def dart_embedding(spark, d):
+    return dart.embedding(_one_study(spark, d))
+
+
+@query("dart_leaf_order")
+def dart_leaf_order(spark, d):
+    return dart.leaf_order(_one_study(spark, d))
+
+
+@query("dart_drill_down", "SELECT sample, feature, mz, round(sum(spint) OVER (PARTITION BY sample), 3) AS sample_sum FROM sp WHERE mz BETWEEN 145.3806 AND 145.4806")
+def dart_drill_down(spark, d):
+    b = spark.createDataFrame([("x", 145.3806, 145.4306, 145.4806)], "feature string, mz_min double, mz_mean double, mz_max double")
+    s = spectra(spark, d).withColumnRenamed("feature", "own")
+    return dart.drill_down(s, b, "x").select("sample", F.col("own").alias("feature"), "mz", r4("sample_sum", 3).alias("sample_sum"))
+
+
+@query("dart_process")
+def dart_process(spark, d):
+    s = spectra(spark, d).select(F.col("sample").alias("scan"), F.col("study").alias("sample"), "mz", "spint")
+    meta = s.select("sample").distinct().select("sample", F.lit("study").alias("class"), F.lit(1).alias("batch"))
+    return dart.process(s, meta, targets(spark), 20)
+
+
+@query("bat_template")
+def bat_template(spark, d):
+    from massloom.operators.batch import correct_by_template
+
+    return correct_by_template(long_matrix(spark, d), QC, ["study"]).select("sample", "feature", "value")

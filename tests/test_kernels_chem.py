@@ -114,3 +114,26 @@ def test_fill_and_knn():
     assert list(kernels.fill_gaps(y)) == [1, 1, 2, 3, 3]
     x = np.array([[1.0, 1.0], [1.1, np.nan], [9.0, 9.0]])
     assert kernels.knn_fill(x, 1)[1, 1] == 1.0
+
+
+def test_ward_order_keeps_groups_together():
+    x = np.array([0.0, 10.0, 0.1, 10.1, 0.2, 20.0])
+    order = kernels.ward_order((x[:, None] - x) ** 2)
+    place = {i: k for k, i in enumerate(order)}
+    assert sorted(order) == list(range(6)) and {place[0], place[2], place[4]} in ({0, 1, 2}, {3, 4, 5}) and abs(place[1] - place[3]) == 1
+    assert kernels.ward_order(np.zeros((0, 0))) == []
+
+
+def test_interpolated_level():
+    x, y = np.array([1.0, 2, 4, 8]), np.array([2.0, 3, 1, 5])
+    for how in ("linear", "splines"):
+        assert np.allclose(kernels.interpolated_level(x, y, x, how), y)
+        assert np.allclose(kernels.interpolated_level(x, y, np.array([0.0, 9.0]), how), [2, 5])
+    assert np.allclose(kernels.interpolated_level(x, 2 * x + 1, np.array([3.0, 5.0]), "splines"), [7, 11])
+
+
+def test_profile_sum():
+    m = np.array([100.0, 101, 102])
+    mz, y = kernels.profile_sum([m, m, m], [np.array([1.0, 5, 1])] * 2 + [np.array([1.0, 1, 3])], [1, 1, -1])
+    assert list(mz) == [100, 101] and list(y) == [1, 9]
+    assert len(kernels.profile_sum([], [], [])[0]) == 0
