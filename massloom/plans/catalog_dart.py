@@ -363,3 +363,50 @@ def bat_template(spark, d):
     from massloom.operators.batch import correct_by_template
 
     return correct_by_template(long_matrix(spark, d), QC, ["study"]).select("sample", "feature", "value")
+
+
+@query(
+    "dart_reindex",
+    """WITH x AS (SELECT feature_id, study, CASE WHEN charge = -1 THEN -1 ELSE CAST(floor(mz / 10) AS BIGINT) END AS label FROM f)
+       SELECT feature_id, CAST(dense_rank() OVER (PARTITION BY study ORDER BY label) - 1 AS BIGINT) AS label FROM x WHERE label >= 0""",
+)
+def dart_reindex(spark, d):
+    f = points(spark, d).select("feature_id", "study", F.when(F.col("charge") == -1, F.lit(-1)).otherwise(F.floor(F.col("mz") / 10)).alias("label"))
+    return dart.reindex(f, "label", ["study"]).select("feature_id", F.col("label").cast("bigint").alias("label"))
+
+
+@query(
+    "mat_build",
+    """WITH x AS (SELECT study AS sample, CAST(floor(mz / 50) AS BIGINT) AS k, max(rt) AS value FROM f WHERE charge > 0 GROUP BY 1, 2)
+       SELECT a.sample, 'FT-' || lpad(CAST(b.k AS VARCHAR), CAST(length(CAST((SELECT max(k) FROM x) AS VARCHAR)) AS INTEGER), '0') AS feature, x.value
+       FROM (SELECT DISTINCT study AS sample FROM f) a CROSS JOIN (SELECT DISTINCT k FROM x) b LEFT JOIN x ON x.sample = a.sample AND x.k = b.k""",
+)
+def mat_build(spark, d):
+    f = points(spark, d).withColumn("sample", F.col("study")).withColumn("cluster", F.when(F.col("charge") > 0, F.floor(F.col("mz") / 50)).otherwise(F.lit(-1)))
+    return matrix.build_matrix(f, f.select("sample").distinct(), "rt")
+
+
+@query(
+    "pk_envelope",
+    """WITH b AS (SELECT sample, trace_id, min(scan) AS a, max(scan) AS z FROM g GROUP BY 1, 2), w AS (SELECT sample, max(a) AS a, min(z) AS z FROM b GROUP BY 1),
+       i AS (SELECT g.* FROM g JOIN w ON w.sample = g.sample AND scan BETWEEN a AND z), t AS (SELECT sample, trace_id, (scan - lag(scan) OVER v) * (spint + lag(spint) OVER v) / 2.0 AS p FROM i WINDOW v AS (PARTITION BY sample, trace_id ORDER BY scan)),
+       r AS (SELECT sample, trace_id, coalesce(sum(p), 0) AS area FROM t GROUP BY 1, 2)
+       SELECT sample, trace_id, round(area / nullif(sum(area) OVER (PARTITION BY sample), 0), 6) AS p FROM r""",
+)
+def pk_envelope(spark, d):
+    return peaks.envelope(signals(spark, d), ["sample"], "trace_id", "scan", "scan", "spint").select("sample", "trace_id", r4("p", 6).alias("p"))
+
+
+@query("str_daily_totals", "SELECT sample, CAST(CAST(date_trunc('day', received_at) AS DATE) AS VARCHAR) AS day, round(sum(spint), 3) AS tic, max(spint) AS bpi, count(*) AS n FROM (SELECT DISTINCT sample, trace_id, scan, time, spint, received_at FROM chromatogram WHERE isfinite(spint) AND spint >= 0) GROUP BY 1, 2")
+def str_daily_totals(spark, d):
+    from massloom.operators.hotdeck import usable_area
+    from massloom.streaming.signals import running_totals
+
+    r = table(spark, d, "chromatogram").withColumn("spint", usable_area(F.col("spint"))).filter("spint is not null").select("sample", "trace_id", "scan", "time", "spint", F.col("received_at").alias("at")).distinct()
+    return running_totals(r, "1 day").select("sample", F.col("start").cast("date").cast("string").alias("day"), r4("tic", 3).alias("tic"), "bpi", "n")
+
+
+@query("raw_profile_sum")
+def raw_profile_sum(spark, d):
+    s = peaks.to_traces(signals(spark, d), ["sample", "trace_id"], "scan", ["time", "spint"]).withColumnRenamed("time", "mz").withColumn("time", F.col("trace_id").cast("double"))
+    return raw.accumulate_profile(s, 0.0, 200.0, 0.0, 400.0).select("sample", F.size("mz").alias("n"))
