@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.session import cut
@@ -43,8 +43,11 @@ def islands(df: DataFrame, keys: list[str], value: str, gap: float, out: str, bl
     ``out`` is the smallest value of the run, which names it. Runs are found inside
     blocks of width ``blocks`` and stitched where a block's last and the next block's
     first value touch, with two rows for each block, so no order over all rows is needed.
+    They are found over distinct values, so one value may be that of any number of rows.
+    A null value belongs to no run.
     """
-    b = df.withColumn("_b", F.floor(F.col(value) / blocks))
+    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    b = values.withColumn("_b", F.floor(F.col(value) / blocks))
     w = Window.partitionBy(*keys, "_b").orderBy(value)
     started = b.withColumn("_new", F.when(F.col(value) - F.lag(value).over(w) <= gap, None).otherwise(F.col(value)))
     started = started.withColumn("_run", F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -56,8 +59,14 @@ def islands(df: DataFrame, keys: list[str], value: str, gap: float, out: str, bl
     ends = ends.withColumn("_origin", F.when(~F.col("_joined") | (F.col("_lastrun") > F.col("_first")), F.col("_lastrun")))
     ends = ends.withColumn("_before", F.last("_origin", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1)))
     name = ends.filter("_joined").select(*keys, "_b", F.col("_first"), "_before")
-    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [F.col("s._b") == F.col("n._b"), F.col("s._run") == F.col("n._first")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return started.alias("s").join(name.alias("n"), cond, "left").select(*[F.col(f"s.{c}").alias(c) for c in df.columns], F.coalesce("n._before", "s._run").alias(out))
+    named = started.alias("s").join(name.alias("n"), _same(keys) & (F.col("s._b") == F.col("n._b")) & (F.col("s._run") == F.col("n._first")), "left")
+    named = named.select(*[F.col(f"s.{c}").alias(c) for c in (*keys, value)], F.coalesce("n._before", "s._run").alias(out))
+    full = df.alias("s").join(named.alias("n"), _same(keys) & (F.col(f"s.{value}") == F.col(f"n.{value}")), "left")
+    return full.select(*[F.col(f"s.{c}").alias(c) for c in df.columns], F.col(f"n.{out}").alias(out))
+
+
+def _same(keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}"))
+    return cond

@@ -26,7 +26,8 @@ CHUNK = 1024
 
 def _number(df: DataFrame, block: Sequence[str], order: str, is_donor: Column) -> DataFrame:
     """Adds _before: donors at or before this record in its block, by (order, record)."""
-    d = df.withColumn("_chunk", F.floor(F.coalesce(F.col(order), F.lit(0.0)) / CHUNK))
+    # records without an order lie in no order; they are spread over chunks of their own
+    d = df.withColumn("_chunk", F.coalesce(F.floor(F.col(order) / CHUNK), -1 - F.pmod(F.xxhash64("record"), F.lit(256))))
     keys = [*block, "_chunk"]
     w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, 0)
     inner = d.withColumn("_in", F.sum(is_donor.cast("long")).over(w))
