@@ -1,62 +1,121 @@
 """Missing values filled from similar records: nearest-neighbour hot deck.
 
-Records are hash-blocked on the features that are observed, from the closest kind of
-block to the widest. Inside a block, in one order (the run order), a record's nearest
-donors are those around its place. Each donor's place is its number among the block's
-donors, counted in chunks with carried totals, so the nearest donors are found by an
-equi-join on (block, number), never by comparing all records of a block. The donors of
-all blocks are ranked by a mixed distance, and the closest ones give the weighted median
-of a number, or the weighted majority of a category.
+The mixed distance counts each feature that isn't known to be equal, and the gap in one
+order (the run order). Records are hash-blocked on each combination of those features.
+Inside a block the distance of the features is at most the block's, so the donors nearest
+in the order are the nearest of the block; over all blocks they hold the closest donors
+there are. Each donor's place is its number among the block's donors, counted in chunks
+with carried totals, so the nearest donors are found by an equi-join on (block, number),
+never by comparing all records of a block. The closest ones give the weighted median of a
+number, or the weighted majority of a category.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: donors taken on each side in each block, and donors that a value is made of
+from massloom.session import cut
+
+#: donors taken on each side in each block, unless said otherwise, and donors that a value is made of
 SIDE = 2
 DONORS = 5
 #: records of a block are counted in chunks of the order of this width
 CHUNK = 1024
+#: gap in the order to a record without one
+UNKNOWN_GAP = 100.0
+
+
+def combined(base: Sequence[str], features: Sequence[str]) -> list[list[str]]:
+    """A block for each combination of the features, all within ``base``."""
+    return [[*base, *c] for n in range(len(features), -1, -1) for c in combinations(features, n)]
 
 
-def _number(df: DataFrame, block: Sequence[str], order: str, is_donor: Column) -> DataFrame:
-    """Adds _before: donors at or before this record in its block, by (order, record)."""
-    # records without an order lie in no order; they are spread over chunks of their own
-    d = df.withColumn("_chunk", F.coalesce(F.floor(F.col(order) / CHUNK), -1 - F.pmod(F.xxhash64("record"), F.lit(256))))
-    keys = [*block, "_chunk"]
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, 0)
-    inner = d.withColumn("_in", F.sum(is_donor.cast("long")).over(w))
-    totals = d.groupBy(*keys).agg(F.sum(is_donor.cast("long")).alias("_n"))
-    carried = totals.withColumn("_carry", F.coalesce(F.sum("_n").over(Window.partitionBy(*block).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*keys, "_carry")
-    return inner.join(carried, keys).withColumn("_before", F.col("_in") + F.col("_carry")).drop("_in", "_carry", "_chunk")
+def _blocked(records: DataFrame, blocks: Sequence[Sequence[str]], features: Sequence[str], base: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Each record once for each block it has the keys of: _block, names (NULL where not a key), _apart.
+
+    A donor is left out of blocks whose keys no missing record has singly: nobody asks there.
+    """
+    kinds = dict(records.dtypes)
+    for k in names:
+        if k not in base:
+            wanted = records.filter(F.col("value").isNull() & F.col(k).isNotNull()).select(*base, k).distinct().withColumn(f"_want_{k}", F.lit(True))
+            records = records.join(wanted, [*base, k], "left")
+    whole = lambda b: reduce(lambda x, y: x & y, [F.col(k).isNotNull() if k in base else F.coalesce(F.col(f"_want_{k}"), F.lit(False)) for k in b])
+    # what the block doesn't hold counts as different; a donor alike in more is nearer in another block
+    key = lambda i, b: F.struct(F.lit(i).alias("_block"), *[(F.col(k) if k in b else F.lit(None).cast(kinds[k])).alias(k) for k in names], F.lit(float(len(set(features) - set(b)))).alias("_apart"))
+    keys = F.array_compact(F.array(*[F.when(whole(b), key(i, b)) for i, b in enumerate(blocks)]))
+    rest = [c for c in records.columns if c not in names and not c.startswith("_want_")]
+    return records.select(*rest, F.explode(keys).alias("_k")).select(*rest, "_k.*").withColumn("_give", F.col("value").isNotNull())
+
+
+def _equal(left: DataFrame, right: DataFrame, names: Sequence[str], same: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``same`` and on ``names``, of which those that a block lacks are NULL."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in [*same, *names]})
+    cond = [left[c] == r[f"_r_{c}"] for c in same] + [left[c].eqNullSafe(r[f"_r_{c}"]) for c in names]
+    return left.join(r, reduce(lambda x, y: x & y, cond), how).drop(*[f"_r_{c}" for c in [*same, *names]])
+
+
+def _number(df: DataFrame, names: Sequence[str], order: str, side: int, carried: DataFrame) -> DataFrame:
+    """Of records with an order, numbers the donors of each block by (order, record).
+
+    Of donors at one place only the first ``side`` count. Adds _upto: donors at or before
+    the record's place; for donors also _no, and _back, the number if those at one place
+    are taken the other way round.
+    """
+    keys = ["_block", *names, "_chunk"]
+    place = Window.partitionBy(*keys, order)
+    rank = F.sum(F.col("_give").cast("long")).over(place.orderBy("record").rowsBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("_rank", rank).withColumn("_give", F.col("_give") & (F.col("_rank") <= side)).filter("_give or value is null")
+    one = F.col("_give").cast("long")
+    upto = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_same", F.sum(one).over(place)).withColumn("_upto", F.sum(one).over(upto))
+    d = _equal(d, carried, names, ["_block", "_chunk"], "left").withColumn("_upto", F.col("_upto") + F.coalesce("_carry", F.lit(0)))
+    return d.withColumn("_no", F.col("_upto") - F.col("_same") + F.col("_rank")).withColumn("_back", F.col("_upto") + 1 - F.col("_rank")).drop("_rank", "_same", "_carry", "_chunk")
 
 
-def donors(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, features: Sequence[str]) -> DataFrame:
-    """(record, value, distance) of the donors around each record that lacks a value.
+def donors(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, features: Sequence[str], side: int = SIDE) -> DataFrame:
+    """(record, donor, value, distance) of the donors around each record that lacks a value.
 
     ``records`` has record, value (NULL where missing), ``order`` and ``features``.
-    A record takes no part in a block of which it lacks a key.
+    A record takes no part in a block of which it lacks a key. In each block the
+    ``side`` nearest on each side are taken, at one place those of the smallest record
+    first, and the first ``side`` of those without an order; a record without an order
+    takes the first ``side`` of all. A donor of several blocks comes with the distance
+    in each; the least is its own.
     """
-    found: list[DataFrame] = []
-    carry = [order, *features]
-    for block in blocks:
-        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in block])
-        d = records.filter(whole)
-        numbered = _number(d, block, order, F.col("value").isNotNull())
-        need = numbered.filter(F.col("value").isNull())
-        give = numbered.filter(F.col("value").isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(block)], F.col("_before").alias("_no"), F.col("record").alias("_donor"), F.col("value").alias("_value"), *[F.col(c).alias(f"_d_{c}") for c in carry])
-        asked = need.withColumn("_no", F.explode(F.sequence(F.col("_before") - (SIDE - 1), F.col("_before") + SIDE))).drop("value", "_before")
-        cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(block)] + [asked["_no"] == give["_no"]])
-        # each attribute that differs, or is unknown on one side, counts one; the order counts by its distance
-        apart = [F.when(F.col(c).eqNullSafe(F.col(f"_d_{c}")) & F.col(c).isNotNull(), 0.0).otherwise(1.0) for c in features]
-        gap = F.coalesce(F.abs(F.col(order) - F.col(f"_d_{order}")), F.lit(100.0))
-        found.append(asked.join(give, cond).select("record", F.col("_donor").alias("donor"), F.col("_value").alias("value"), (reduce(lambda a, b: a + b, apart, F.lit(0.0)) + gap / (gap + 10.0)).alias("distance")))
-    return reduce(DataFrame.unionByName, found)
+    names = list(dict.fromkeys(k for b in blocks for k in b))
+    base = [k for k in names if all(k in b for b in blocks)]
+    r = records.select("record", "value", order, *names)
+    lacks, placed = F.col("value").isNull(), F.col(order).isNotNull()
+    at = ["_block", *names]
+    chunk = F.floor(F.col(order) / CHUNK)
+
+    # only what spans several chunks needs carried totals
+    long = r.filter(placed).groupBy(*base).agg(F.min(chunk).alias("_a"), F.max(chunk).alias("_z")).filter("_a < _z").select(*base)
+    # (a chunk may hold records that ask, and no donor)
+    spread = _blocked(r.join(long, base, "left_semi"), blocks, features, base, names).filter(placed).withColumn("_chunk", chunk)
+    totals = spread.groupBy(*at, "_chunk", order).agg(F.least(F.sum(F.col("_give").cast("long")), F.lit(side)).alias("_n")).groupBy(*at, "_chunk").agg(F.sum("_n").alias("_n"))
+    carried = totals.select(*at, "_chunk", F.sum("_n").over(Window.partitionBy(*at).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+
+    d = _blocked(r, blocks, features, base, names)
+    numbered = _number(d.filter(placed).withColumn("_chunk", chunk), names, order, side, carried)
+    given = lambda df, *more: df.select(*at, *more, F.col("record").alias("_donor"), F.col("value").alias("_value"), F.col(order).alias("_place"))
+    asks = lambda df, *more: df.filter(lacks).select(*at, "record", order, "_apart", *more)
+    first = lambda df: given(df.filter("_give").withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy("record"))).filter(F.col("_r") <= side))
+    # those before may be taken the other way round within a place, hence the wider reach
+    asked = asks(numbered, "_upto", F.explode(F.sequence(F.col("_upto") - (2 * side - 2), F.col("_upto") + side)).alias("_no"))
+    near = _equal(asked, given(numbered.filter("_give"), "_no", "_back"), names, ["_block", "_no"]).filter(f"_no > _upto or _back > _upto - {side}").drop("_no", "_back", "_upto")
+    unplaced = _equal(asks(d.filter(placed)), first(d.filter(~placed)), names, ["_block"])
+    lost = r.filter(lacks & ~placed).select(*base).distinct()
+    among = _blocked(r.join(lost, base, "left_semi"), blocks, features, base, names)
+    anywhere = _equal(asks(among.filter(~placed)), first(among), names, ["_block"])
+    gap = F.coalesce(F.abs(F.col(order) - F.col("_place")), F.lit(UNKNOWN_GAP))
+    return near.unionByName(unplaced).unionByName(anywhere).select("record", F.col("_donor").alias("donor"), F.col("_value").alias("value"), (F.col("_apart") + gap / (gap + 10.0)).alias("distance"))
 
 
 def fill(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, features: Sequence[str], numeric: bool) -> DataFrame:
@@ -65,11 +124,14 @@ def fill(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, featur
     filled is true where the value was missing; such a value is the donors' weighted
     median, or their weighted majority (ties go to the smaller value), weights falling
     with the distance. A missing value without any donor stays NULL with filled true
-    and no donors. Records are expected once each.
+    and no donors. Records are expected once each. With a block for each combination of
+    the features (``combined``) the donors are the closest of the widest block; ties go
+    to the smaller record.
     """
-    near = donors(records, blocks, order, features)
+    records = cut(records)
+    near = donors(records, blocks, order, features, DONORS)
     once = near.groupBy("record", "donor").agg(F.min(F.struct("distance", "value")).alias("x"))
-    # at most 2 * SIDE donors for each kind of block
+    # at most 3 * DONORS donors for each kind of block
     best = once.groupBy("record").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("x.distance").alias("distance"), F.col("donor"), F.col("x.value").alias("value")))), 1, DONORS).alias("d"))
     weigh = F.transform("d", lambda x: F.struct(x["value"].alias("value"), (1.0 / (1.0 + x["distance"])).alias("w")))
     best = best.withColumn("v", F.array_sort(weigh))
@@ -112,7 +174,7 @@ def sample_records(samples: DataFrame, classes: DataFrame) -> DataFrame:
 def fill_classes(samples: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes of injections, from those of the same subject, batch and study nearest in the run."""
     r = sample_records(samples, classes)
-    return fill(r, [["study", "subject"], ["study", "batch"], ["study"]], "run", ["subject", "batch"], numeric=False)
+    return fill(r, combined(["study"], ["subject", "batch"]), "run", ["subject", "batch"], numeric=False)
 
 
 def fill_areas(cells: DataFrame, samples: DataFrame, classes: DataFrame) -> DataFrame:
@@ -125,7 +187,7 @@ def fill_areas(cells: DataFrame, samples: DataFrame, classes: DataFrame) -> Data
     c = cells.filter("cell_id is not null").groupBy(F.col("cell_id").cast("bigint").alias("record")).agg(F.max(usable_area(F.col("area"))).alias("value"), F.max("feature_id").alias("feature_id"), F.max("sample_id").alias("sample_id"))
     s = sample_records(samples, classes).select(F.col("record").alias("sample_id"), F.col("value").alias("class"), "subject", "batch", "run")
     r = c.join(s, "sample_id", "left")
-    return fill(r, [["feature_id", "subject"], ["feature_id", "class", "batch"], ["feature_id"]], "run", ["subject", "class", "batch"], numeric=True)
+    return fill(r, combined(["feature_id"], ["subject", "class", "batch"]), "run", ["subject", "class", "batch"], numeric=True)
 
 
 def found(areas: DataFrame, classes: DataFrame) -> DataFrame:

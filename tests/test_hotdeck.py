@@ -1,3 +1,5 @@
+import random
+
 from massloom.operators import hotdeck
 
 CELLS = "cell_id long, sample_id long, feature_id long, area double, extra string"
@@ -39,6 +41,25 @@ def test_nearest_donors_are_the_nearest(spark):
         assert got[i] == {j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 3000 and j % 3}
 
 
+def test_donors_are_the_closest_of_all(spark):
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, pick(None, float(i), float(i)), pick(1, 2), pick(None, "p", "q", "r", "s"), pick("a", "a", "b", None), pick(1, 2, 3), pick(None, *[float(x) for x in (*range(0, 40), 150, 1020, 1024, 1030, 2500)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "record long, value double, feature_id long, subject string, class string, batch int, run double")
+    features = ["subject", "class", "batch"]
+    got = {r["record"]: r["donors"] for r in hotdeck.fill(df, hotdeck.combined(["feature_id"], features), "run", features, numeric=True).filter("filled").collect()}
+
+    def distance(a, b):
+        gap = 100.0 if a[6] is None or b[6] is None else abs(a[6] - b[6])
+        return sum(0.0 if a[k] is not None and a[k] == b[k] else 1.0 for k in (3, 4, 5)) + gap / (gap + 10.0)
+
+    missing = [r for r in rows if r[1] is None]
+    assert len(missing) > 100 and set(got) == {r[0] for r in missing}
+    for r in missing:
+        near = sorted((distance(r, x), x[0]) for x in rows if x[1] is not None and x[2] == r[2])
+        assert got[r[0]] == [x[1] for x in near[: hotdeck.DONORS]]
+
+
 def test_empty(spark):
     cells, samples, classes = tables(spark)
     assert hotdeck.fill_areas(cells.limit(0), samples.limit(0), classes).count() == 0
