@@ -408,5 +408,8 @@ def str_daily_totals(spark, d):
 
 @query("raw_profile_sum")
 def raw_profile_sum(spark, d):
-    s = peaks.to_traces(signals(spark, d), ["sample", "trace_id"], "scan", ["time", "spint"]).withColumnRenamed("time", "mz").withColumn("time", F.col("trace_id").cast("double"))
-    return raw.accumulate_profile(s, 0.0, 200.0, 0.0, 400.0).select("sample", F.size("mz").alias("n"))
+    s = peaks.to_traces(signals(spark, d), ["sample", "trace_id"], "scan", ["time", "spint"]).withColumnRenamed("time", "mz")
+    # a trace's place among its sample's, from 0 to 1: the first half minus the second
+    w = Window.partitionBy("sample")
+    s = s.withColumn("time", (F.row_number().over(w.orderBy("trace_id")) - 1) / F.count(F.lit(1)).over(w))
+    return raw.accumulate_profile(s, 0.0, 0.5, 0.0, 1.0).select("sample", F.size("mz").alias("n"))
