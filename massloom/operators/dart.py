@@ -305,6 +305,27 @@ def embedding(matrix: DataFrame, components: int = 2, scaling: bool = True) -> D
     return metrics.pca(m, components)[0]
 
 
+def embedding_by(matrix: DataFrame, by: str = "study", components: int = 2, scaling: bool = True) -> DataFrame:
+    """``embedding`` of each group: (by, sample, component, score)."""
+    return metrics.pca_by(matrix, by, components, scaling)
+
+
+def leaf_order_by(matrix: DataFrame, by: str = "study", axis: str = "sample") -> DataFrame:
+    """``leaf_order`` of each group: (by, axis, position). A group goes to one task, with its rows' distances."""
+    kinds = dict(matrix.dtypes)
+    other = "feature" if axis == "sample" else "sample"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, z = metrics.dense(pdf, axis, other, True)
+        dot = z @ z.T
+        sq = np.diag(dot)
+        order = kernels.ward_order(np.maximum(sq[:, None] + sq - 2 * dot, 0.0))
+        return pd.DataFrame({by: pdf[by].iloc[0], axis: np.asarray(names)[order], "position": np.arange(len(order), dtype="int32")})
+
+    m = matrix.filter(F.col(by).isNotNull() & F.col(axis).isNotNull() & F.col(other).isNotNull()).select(by, "sample", "feature", "value")
+    return m.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {axis} {kinds[axis]}, position int")
+
+
 def leaf_order(matrix: DataFrame, axis: str = "sample", most: int = 2000) -> DataFrame:
     """(axis, position): order of Ward's hierarchical clustering of standardised rows, missing as 0.
 

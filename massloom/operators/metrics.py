@@ -145,6 +145,45 @@ def pipeline_metrics(matrix: DataFrame) -> DataFrame:
     return matrix.agg(F.countDistinct("feature").alias("features"), F.countDistinct("sample").alias("samples")).crossJoin(c.agg(F.median("cv").alias("cv")))
 
 
+def dense(pdf, rows: str, columns: str, scaling: bool):
+    """Names and matrix of a long group: values centred by column, or standardised; NULL as 0, what isn't there adds nothing."""
+    import numpy as np
+
+    v = pdf["value"].astype(float).fillna(0.0)
+    g = v.groupby(pdf[columns])
+    v = v - g.transform("mean")
+    if scaling:
+        s = g.transform("std", ddof=0).to_numpy()
+        v = v / np.where(s == 0, np.inf, s)
+    r, names = pdf[rows].factorize(sort=True)
+    c, features = pdf[columns].factorize(sort=True)
+    x = np.zeros((len(names), len(features)))
+    np.add.at(x, (r, c), v.to_numpy())
+    return names, x
+
+
+def pca_by(matrix: DataFrame, by: str, components: int = 2, scaling: bool = False) -> DataFrame:
+    """Scores (by, sample, component, score) of ``pca`` within each group, at once for all groups.
+
+    A group's matrix of samples x features goes to one task. Rows without a group are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(matrix.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, x = dense(pdf, "sample", "feature", scaling)
+        values, vectors = np.linalg.eigh(x.T @ x / max(1, len(names) - 1))
+        vectors = vectors[:, np.argsort(values)[::-1][:components]]
+        k = vectors.shape[1]
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(k)])
+        return pd.DataFrame({by: pdf[by].iloc[0], "sample": np.repeat(np.asarray(names), k), "component": np.tile(np.arange(k, dtype="int32"), len(names)), "score": (x @ vectors).ravel()})
+
+    m = matrix.filter(F.col(by).isNotNull() & F.col("sample").isNotNull() & F.col("feature").isNotNull()).select(by, "sample", "feature", "value")
+    return m.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, sample {kinds['sample']}, component int, score double")
+
+
 def pca(matrix: DataFrame, components: int = 2) -> tuple[DataFrame, DataFrame, list[float]]:
     """Principal components of a matrix whose NULLs count as 0: scores, loadings, variances.
 

@@ -327,21 +327,14 @@ def raw_unmatched(spark, d):
     return raw.unmatched(spectra(spark, d), targets(spark), 0.05).groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _one_study(spark, d):
-    """The study that holds the fewest injections with a name: pictures are of one study."""
-    m = long_matrix(spark, d)
-    first = catalog.samples(spark, d).groupBy("study").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct("n", "study")).alias("s")).select(F.col("s.study").alias("study"))
-    return m.join(first, "study", "left_semi")
-
-
 @query("dart_embedding")
 def dart_embedding(spark, d):
-    return dart.embedding(_one_study(spark, d))
+    return dart.embedding_by(long_matrix(spark, d))
 
 
 @query("dart_leaf_order")
 def dart_leaf_order(spark, d):
-    return dart.leaf_order(_one_study(spark, d))
+    return dart.leaf_order_by(long_matrix(spark, d))
 
 
 @query("dart_drill_down", "SELECT sample, feature, mz, round(sum(spint) OVER (PARTITION BY sample), 3) AS sample_sum FROM sp WHERE mz BETWEEN 145.3806 AND 145.4806")

@@ -1,6 +1,11 @@
 """Queries take part in the whole of their tables."""
 
-from massloom.plans import catalog_dart
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from massloom.operators import dart
+from massloom.plans import catalog, catalog_dart
 
 
 def test_profile_sum_takes_every_trace(spark, tmp_path):
@@ -11,3 +16,27 @@ def test_profile_sum_takes_every_trace(spark, tmp_path):
     got = {x["sample"]: x["n"] for x in catalog_dart.QUERIES["raw_profile_sum"](spark, str(tmp_path)).collect()}
     # 1000 and 1001 count for, 1002 (at 2/3) against
     assert got == {"a": 6, "b": 3}
+
+
+def _matrix(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, 10 * k + i, 100 * k + f, None if rng.random() < 0.1 else float(rng.random())) for k, g in enumerate("abc") for i in range(6) for f in range(5) if rng.random() < 0.9]
+    return spark.createDataFrame(rows, "study string, sample long, feature long, value double").cache()
+
+
+def test_embedding_and_order_of_each_study_are_those_of_the_study_alone(spark):
+    m = _matrix(spark)
+    scores = {(r["study"], r["sample"], r["component"]): r["score"] for r in dart.embedding_by(m).collect()}
+    order = {(r["study"], r["sample"]): r["position"] for r in dart.leaf_order_by(m).collect()}
+    assert {k[0] for k in scores} == {k[0] for k in order} == set("abc")
+    for g in "abc":
+        one = m.filter(F.col("study") == g).drop("study")
+        want = {(g, r["sample"], r["component"]): r["score"] for r in dart.embedding(one).collect()}
+        assert {k: v for k, v in scores.items() if k[0] == g} == pytest.approx(want)
+        assert {k[1]: v for k, v in order.items() if k[0] == g} == {r["sample"]: r["position"] for r in dart.leaf_order(one).collect()}
+
+
+def test_embedding_and_order_queries_return_all_studies(spark, small):
+    want = {r["sample"] for r in catalog.long_matrix(spark, small).filter("study is not null and sample is not null").select("sample").distinct().collect()}
+    for name in ("dart_embedding", "dart_leaf_order"):
+        assert {r["sample"] for r in catalog_dart.QUERIES[name](spark, small).select("sample").distinct().collect()} == want, name
