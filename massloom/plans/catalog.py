@@ -552,8 +552,7 @@ def met_recovery(spark, d):
 
 @query("met_pca")
 def met_pca(spark, d):
-    first = samples(spark, d).agg(F.min("study").alias("study"))
-    return metrics.pca(long_matrix(spark, d).join(first, "study"))[0]
+    return metrics.pca_by(long_matrix(spark, d), "study")
 
 
 # ---------------------------------------------------------------- curation

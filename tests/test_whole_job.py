@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.operators import dart
+from massloom.operators import dart, metrics
 from massloom.plans import catalog, catalog_dart
 
 
@@ -40,3 +40,12 @@ def test_embedding_and_order_queries_return_all_studies(spark, small):
     want = {r["sample"] for r in catalog.long_matrix(spark, small).filter("study is not null and sample is not null").select("sample").distinct().collect()}
     for name in ("dart_embedding", "dart_leaf_order"):
         assert {r["sample"] for r in catalog_dart.QUERIES[name](spark, small).select("sample").distinct().collect()} == want, name
+
+
+def test_pca_of_each_study(spark, small):
+    m = _matrix(spark)
+    got = {(r["study"], r["sample"], r["component"]): r["score"] for r in metrics.pca_by(m, "study").collect()}
+    want = {(g, r["sample"], r["component"]): r["score"] for g in "abc" for r in metrics.pca(m.filter(F.col("study") == g))[0].collect()}
+    assert got == pytest.approx(want)
+    q = catalog.QUERIES["met_pca"](spark, small).select("study", "sample").distinct()
+    assert q.count() == catalog.long_matrix(spark, small).filter("study is not null and sample is not null").select("study", "sample").distinct().count()
