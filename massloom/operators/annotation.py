@@ -49,8 +49,17 @@ def candidate_envelopes(mz: np.ndarray, first: int, charge: int, steps: list[tup
     return done
 
 
+def first_members(mz: np.ndarray, i: int, charge: int, steps: list[tuple[float, float]], tol: float, longest: int, allowed: np.ndarray) -> list[int]:
+    """The feature itself, then lighter ones of whose envelope it may be a later member."""
+    out = [i]
+    for lo, hi in steps[: longest - 1]:
+        a, b = np.searchsorted(mz, [mz[i] - hi / charge - tol, mz[i] - lo / charge + tol])
+        out += [j for j in range(a, b) if allowed[j] and j < i and j not in out]
+    return out
+
+
 def annotate_sample(mz: np.ndarray, area: np.ndarray, group: np.ndarray, bounds: dict[str, tuple[int, int]], max_charge: int = 3, tol: float = 0.01, p_tol: float = 0.1, longest: int = 5) -> np.ndarray:
-    """(label, index, charge) of each feature: the most intense free feature takes its longest valid envelope.
+    """(label, index, charge) of each feature: the most intense free feature takes the longest valid envelope that it is a member of.
 
     ``group`` tells which features elute together. Features are sorted by mass.
     """
@@ -63,9 +72,10 @@ def annotate_sample(mz: np.ndarray, area: np.ndarray, group: np.ndarray, bounds:
             continue
         best: tuple[int, list[int]] | None = None
         for z in range(1, max_charge + 1):
-            for c in candidate_envelopes(mz, i, z, steps, tol, longest, free & (group == group[i])):
+            allowed = free & (group == group[i])
+            for c in (c for j in first_members(mz, i, z, steps, tol, longest, allowed) for c in candidate_envelopes(mz, j, z, steps, tol, longest, allowed) if i in c):
                 n = chem.validate_envelope(list((mz[c] + chem.ELECTRON) * z), list(area[c] / area[c].sum()), bounds, tol * z, p_tol, tol * z)
-                if n > 1 and (best is None or n > len(best[1])):
+                if n > max(1, c.index(i)) and (best is None or n > len(best[1])):
                     best = (z, c[:n])
         if best:
             z, c = best

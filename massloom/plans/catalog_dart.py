@@ -290,9 +290,10 @@ def ann_isotopologue_report(spark, d):
 
 @query("ann_annotate")
 def ann_annotate(spark, d):
-    s = spectra(spark, d).filter("class = 'qc'").select("sample", "feature", "mz", F.col("spint").alias("area"), F.lit(0).alias("group"))
-    bounds = {"C": (1, 12), "H": (2, 24), "O": (0, 6), "N": (0, 4)}
-    return annotation.annotate(s, ["sample"], "group", bounds, tol=0.005, longest=3)
+    s = spectra(spark, d).select("sample", "feature", "mz", F.col("spint").alias("area"), F.lit(0).alias("group"))
+    # up to 3324 Da: three charges at the highest mass of the tables
+    bounds = {"C": (1, 150), "H": (2, 302), "O": (0, 50), "N": (0, 30)}
+    return annotation.annotate(s, ["sample"], "group", bounds, tol=0.005)
 
 
 FORMULAS = ["H2O", "CO2", "C6H12O6", "(13C)C5H12O6", "[C10H11O2]+", "C8H10N4O2", "[CO3]2-", "C24H46N(18O)2PS"]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.operators import dart, metrics
+from massloom.functions import chem
+from massloom.operators import annotation, dart, metrics
 from massloom.plans import catalog, catalog_dart
 
 
@@ -49,3 +50,18 @@ def test_pca_of_each_study(spark, small):
     assert got == pytest.approx(want)
     q = catalog.QUERIES["met_pca"](spark, small).select("study", "sample").distinct()
     assert q.count() == catalog.long_matrix(spark, small).filter("study is not null and sample is not null").select("study", "sample").distinct().count()
+
+
+def test_envelopes_whose_first_member_is_not_the_most_intense():
+    # C95H190: the second member is the most intense
+    bounds = {"C": (1, 100), "H": (2, 202)}
+    mass, p = chem.Formula.parse("C95H190").envelope(4)
+    assert np.argmax(p) == 1
+    mz = np.array(mass) - chem.ELECTRON
+    out = annotation.annotate_sample(mz, np.array(p) * 1e4, np.zeros(4), bounds, 1, 0.005)
+    assert out.tolist() == [[0, k, 1] for k in range(4)]
+
+
+def test_annotation_takes_all_injections(spark, small):
+    got = {r["sample"] for r in catalog_dart.QUERIES["ann_annotate"](spark, small).select("sample").distinct().collect()}
+    assert got == {r["sample"] for r in catalog.spectra(spark, small).select("sample").distinct().collect()}
