@@ -313,8 +313,8 @@ def envelope_column(formula: Column, length: int = 5) -> Column:
     return run(formula)
 
 
-def formulas_column(mass: Column, tol: float, bounds: dict[str, tuple[int, int]], most: int = 20) -> Column:
-    """Array of formulas for each mass, nearest first."""
+def formulas_column(mass: Column, tol: float, bounds: dict[str, tuple[int, int]], most: int | None = 20) -> Column:
+    """Array of formulas for each mass, nearest first; all of them if ``most`` is None."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:

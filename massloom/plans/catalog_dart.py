@@ -313,8 +313,9 @@ def chem_envelope(spark, d):
 
 @query("chem_formulas")
 def chem_formulas(spark, d):
-    m = points(spark, d).select(F.round("mz", 3).alias("mz")).filter("mz < 260").distinct()
-    return m.select("mz", chem.formulas_column(F.col("mz"), 0.003, {"C": (0, 20), "H": (0, 40), "N": (0, 4), "O": (0, 8)}, 5).alias("formulas"))
+    m = points(spark, d).select(F.round("mz", 3).alias("mz")).filter("mz is not null and not isnan(mz)").distinct()
+    # up to 1585 Da, above the highest mass of the tables
+    return m.select("mz", chem.formulas_column(F.col("mz"), 0.003, {"C": (0, 100), "H": (0, 200), "N": (0, 4), "O": (0, 8)}, None).alias("formulas"))
 
 
 @query("raw_centroids")

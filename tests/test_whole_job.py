@@ -65,3 +65,19 @@ def test_envelopes_whose_first_member_is_not_the_most_intense():
 def test_annotation_takes_all_injections(spark, small):
     got = {r["sample"] for r in catalog_dart.QUERIES["ann_annotate"](spark, small).select("sample").distinct().collect()}
     assert got == {r["sample"] for r in catalog.spectra(spark, small).select("sample").distinct().collect()}
+
+
+def test_formulas_of_all_masses_within_tolerance(spark, small):
+    got = {r["mz"]: r["formulas"] for r in catalog_dart.QUERIES["chem_formulas"](spark, small).collect()}
+    want = {r["mz"] for r in catalog.points(spark, small).select(F.round("mz", 3).alias("mz")).filter("mz is not null and not isnan(mz)").distinct().collect()}
+    assert set(got) == want and max(want) > 260
+    heavy = max(want)
+    weight = {e: chem.isotope(e)[1] for e in "CHNO"}
+    count = 0
+    for c in range(101):
+        for n in range(5):
+            for o in range(9):
+                left = heavy - c * weight["C"] - n * weight["N"] - o * weight["O"]
+                h = round(left / weight["H"])
+                count += 0 <= h <= 200 and abs(left - h * weight["H"]) <= 0.003
+    assert len(got[heavy]) == len(set(got[heavy])) == count
