@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from massloom.operators import hotdeck
 
 CELLS = "cell_id long, sample_id long, feature_id long, area double, extra string"
@@ -64,3 +66,17 @@ def test_empty(spark):
     cells, samples, classes = tables(spark)
     assert hotdeck.fill_areas(cells.limit(0), samples.limit(0), classes).count() == 0
     assert hotdeck.fill_classes(samples.limit(0), classes.limit(0)).count() == 0
+
+
+def test_found_comes_from_the_fill(spark):
+    cells, samples, classes = tables(spark)
+    areas, cls = hotdeck.fill_areas(cells, samples, classes), hotdeck.fill_classes(samples, classes)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(x):
+        seen.add(1)
+        return x
+
+    hotdeck.found(areas.withColumn("n_donors", count("n_donors")), cls).count()
+    assert seen.value == areas.count()
