@@ -19,13 +19,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.session import cut
+from massloom.session import cut, small
 
 #: donors taken on each side in each block, unless said otherwise, and donors that a value is made of
 SIDE = 2
 DONORS = 5
 #: records of a block are counted in chunks of the order of this width
 CHUNK = 1024
+#: a group of at most so many rows is gathered in one place; larger ones go by numbered blocks
+GATHER = 256
 #: gap in the order to a record without one
 UNKNOWN_GAP = 100.0
 
@@ -118,38 +120,77 @@ def donors(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, feat
     return near.unionByName(unplaced).unionByName(anywhere).select("record", F.col("_donor").alias("donor"), F.col("_value").alias("value"), (F.col("_apart") + gap / (gap + 10.0)).alias("distance"))
 
 
-def fill(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, features: Sequence[str], numeric: bool) -> DataFrame:
-    """(record, value, filled, n_donors, donors) for every record.
+def _whole_groups(records: DataFrame, base: Sequence[str], order: str, features: Sequence[str]) -> DataFrame:
+    """(record, value, d) of groups of a bounded size; d has the closest donors of a record without a value.
 
-    filled is true where the value was missing; such a value is the donors' weighted
-    median, or their weighted majority (ties go to the smaller value), weights falling
-    with the distance. A missing value without any donor stays NULL with filled true
-    and no donors. Records are expected once each. With a block for each combination of
-    the features (``combined``) the donors are the closest of the widest block; ties go
-    to the smaller record.
+    One shuffle by ``base``: a group's records are gathered as two short arrays, and each
+    record that asks ranks the donors of its own array.
     """
-    records = cut(records)
+    kinds = dict(records.dtypes)
+    once = records.repartition(*base).groupBy(*base, "record", order, *features).agg(F.max("value").alias("value"))
+    item = F.struct("record", "value", F.col(order).alias("_place"), *features)
+    groups = once.groupBy(*base).agg(F.collect_list(F.when(F.col("value").isNotNull(), item)).alias("_givers"), F.collect_list(F.when(F.col("value").isNull(), item)).alias("_askers"))
+
+    def ranked(x: Column, g: Column) -> Column:
+        apart = reduce(lambda a, c: a + c, [F.when(x[k] == g[k], 0.0).otherwise(1.0) for k in features], F.lit(0.0))
+        gap = F.coalesce(F.abs(x["_place"] - g["_place"]), F.lit(UNKNOWN_GAP))
+        return F.struct((apart + gap / (gap + 10.0)).alias("distance"), g["record"].alias("donor"), g["value"].alias("value"))
+
+    asked = F.transform("_askers", lambda x: F.struct(x["record"].alias("record"), x["value"].alias("value"), F.slice(F.array_sort(F.transform("_givers", lambda g: ranked(x, g))), 1, DONORS).alias("d")))
+    none = F.lit(None).cast(f"array<struct<distance:double,donor:{kinds['record']},value:{kinds['value']}>>")
+    given = F.transform("_givers", lambda g: F.struct(g["record"].alias("record"), g["value"].alias("value"), none.alias("d")))
+    return groups.select(F.explode(F.concat(given, asked)).alias("x")).select("x.record", "x.value", "x.d")
+
+
+def _large_groups(records: DataFrame, blocks: Sequence[Sequence[str]], base: Sequence[str], order: str, features: Sequence[str]) -> DataFrame:
+    """The same of groups of any size, which nothing gathers."""
+    records = cut(records.groupBy(*base, "record", order, *features).agg(F.max("value").alias("value")))
     near = donors(records, blocks, order, features, DONORS)
     once = near.groupBy("record", "donor").agg(F.min(F.struct("distance", "value")).alias("x"))
     # at most 3 * DONORS donors for each kind of block
     best = once.groupBy("record").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("x.distance").alias("distance"), F.col("donor"), F.col("x.value").alias("value")))), 1, DONORS).alias("d"))
-    weigh = F.transform("d", lambda x: F.struct(x["value"].alias("value"), (1.0 / (1.0 + x["distance"])).alias("w")))
-    best = best.withColumn("v", F.array_sort(weigh))
+    return records.select("record", "value").join(best, "record", "left")
+
+
+def fill(records: DataFrame, blocks: Sequence[Sequence[str]], order: str, features: Sequence[str], numeric: bool, gather: int = GATHER) -> DataFrame:
+    """(record, value, filled, n_donors, donors) for every record.
+
+    filled is true where the value was missing; such a value is the donors' weighted
+    median, or their weighted majority (ties go to the smaller value), weights falling
+    with the distance. A missing value without any donor stays NULL with filled true
+    and no donors; so does one that lacks a key all blocks share. With a block for each
+    combination of the features (``combined``) the donors are the closest of the widest
+    block; ties go to the smaller record. Copies of a record in one group count once,
+    with the largest of their values.
+
+    Groups of at most ``gather`` rows rank their donors in one array, larger ones find
+    them by numbered blocks; the donors are the same either way.
+    """
+    base = [k for k in blocks[0] if all(k in b for b in blocks)]
+    records = records.select("record", "value", order, *base, *[k for k in features if k not in base])
+    keyed = reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in base])
+    large = cut(records.filter(keyed).groupBy(*base).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > gather).select(*base))
+    if large.take(1):
+        large = small(large)
+        parts = [_whole_groups(records.filter(keyed).join(large, base, "left_anti"), base, order, features), _large_groups(records.join(large, base, "left_semi"), blocks, base, order, features)]
+    else:
+        parts = [_whole_groups(records.filter(keyed), base, order, features)]
+    ranked = reduce(DataFrame.unionByName, parts)
+    loose = records.filter(~keyed).groupBy("record").agg(F.max("value").alias("value")).withColumn("d", F.lit(None).cast(ranked.schema["d"].dataType))
+    ranked = ranked.unionByName(loose).withColumn("v", F.array_sort(F.transform("d", lambda x: F.struct(x["value"].alias("value"), (1.0 / (1.0 + x["distance"])).alias("w")))))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"])
     if numeric:
         # the first value at which the weights reach half of their sum
         start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m"))
         step = F.aggregate("v", start, lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & (a["s"] + x["w"] >= F.col("half")), x["value"].cast("double")).otherwise(a["m"]).alias("m")))
-        best = best.withColumn("half", total / 2 - 1e-12).withColumn("_fill", step["m"])
+        ranked = ranked.withColumn("half", total / 2 - 1e-12).withColumn("_fill", step["m"])
     else:
         names = F.array_distinct(F.transform("v", lambda x: x["value"]))
         votes = F.transform(names, lambda n: F.struct((-F.aggregate("v", F.lit(0.0), lambda a, x: a + F.when(x["value"] == n, x["w"]).otherwise(0.0))).alias("w"), n.alias("n")))
-        best = best.withColumn("_fill", F.array_sort(votes)[0]["n"])
-    best = best.select("record", "_fill", F.size("d").alias("n_donors"), F.col("d.donor").alias("donors"))
+        ranked = ranked.withColumn("_fill", F.get(F.array_sort(votes), F.lit(0))["n"])
     missing = F.col("value").isNull()
-    return records.select("record", "value").join(best, "record", "left").select(
-        "record", F.coalesce("value", "_fill").alias("value"), missing.alias("filled"), F.when(missing, F.coalesce("n_donors", F.lit(0))).otherwise(F.lit(0)).alias("n_donors"), F.when(missing, F.coalesce("donors", F.array().cast("array<bigint>"))).alias("donors")
-    )
+    took = F.coalesce(F.col("d.donor"), F.array().cast("array<bigint>"))
+    return ranked.select("record", F.when(missing, F.col("_fill")).otherwise(F.col("value")).alias("value"), missing.alias("filled"), F.when(missing, F.size(took)).otherwise(F.lit(0)).alias("n_donors"), F.when(missing, took).alias("donors"))
 
 
 def usable_area(c: Column) -> Column:
@@ -177,21 +218,22 @@ def fill_classes(samples: DataFrame, classes: DataFrame) -> DataFrame:
     return fill(r, combined(["study"], ["subject", "batch"]), "run", ["subject", "batch"], numeric=False)
 
 
-def fill_areas(cells: DataFrame, samples: DataFrame, classes: DataFrame) -> DataFrame:
+def fill_areas(cells: DataFrame, samples: DataFrame, classes: DataFrame, gather: int = GATHER) -> DataFrame:
     """Areas of cells, from cells of the same feature in like injections.
 
-    A cell repeated as a whole row counts once. Of two different rows with one cell_id
-    the usable, larger area stands. Cells whose injection is unknown are filled from
-    their feature's cells alone.
+    A cell repeated as a whole row counts once. Of two different rows with one cell_id,
+    feature and injection the usable, larger area stands. Cells whose injection is
+    unknown are filled from their feature's cells alone, cells without a feature not at all.
     """
-    c = cells.filter("cell_id is not null").groupBy(F.col("cell_id").cast("bigint").alias("record")).agg(F.max(usable_area(F.col("area"))).alias("value"), F.max("feature_id").alias("feature_id"), F.max("sample_id").alias("sample_id"))
-    s = sample_records(samples, classes).select(F.col("record").alias("sample_id"), F.col("value").alias("class"), "subject", "batch", "run")
-    r = c.join(s, "sample_id", "left")
-    return fill(r, combined(["feature_id"], ["subject", "class", "batch"]), "run", ["subject", "class", "batch"], numeric=True)
+    c = cells.filter("cell_id is not null").select(F.col("cell_id").cast("bigint").alias("record"), usable_area(F.col("area")).alias("value"), "feature_id", "sample_id")
+    s = cut(sample_records(samples, classes).select(F.col("record").alias("sample_id"), F.col("value").alias("class"), "subject", "batch", "run"))
+    return fill(c.join(small(s), "sample_id", "left"), combined(["feature_id"], ["subject", "class", "batch"]), "run", ["subject", "class", "batch"], numeric=True, gather=gather)
 
 
 def found(areas: DataFrame, classes: DataFrame) -> DataFrame:
-    """The filled records: (table_name, record_id), once they are filled: the fill is written first."""
-    # a filter on the mark alone would let the planner drop the join to the donors
-    areas, classes = cut(areas), cut(classes)
-    return areas.filter("filled").select(F.lit("data_matrix").alias("table_name"), F.col("record").alias("record_id")).unionByName(classes.filter("filled").select(F.lit("sample_metadata").alias("table_name"), F.col("record").alias("record_id")))
+    """The filled records, each with a value or without any donor: (table_name, record_id)."""
+    # read off the outcome of the fill and not off its mark alone, so that no plan can leave the donors out
+    # (of records that weren't missing both sides differ)
+    done = F.col("filled") == ((F.col("n_donors") == 0) | F.col("value").isNotNull())
+    rows = [t.filter(done).select(F.lit(n).alias("table_name"), F.col("record").alias("record_id")) for n, t in (("data_matrix", areas), ("sample_metadata", classes))]
+    return rows[0].unionByName(rows[1])

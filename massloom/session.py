@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -29,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
             shared = os.path.join(tempfile.gettempdir(), f"massloom-checkpoint-{os.getpid()}")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, which has been cut, to be broadcast if its count is at most ``rows``; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

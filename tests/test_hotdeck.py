@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from massloom.operators import hotdeck
@@ -43,13 +44,14 @@ def test_nearest_donors_are_the_nearest(spark):
         assert got[i] == {j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 3000 and j % 3}
 
 
-def test_donors_are_the_closest_of_all(spark):
+@pytest.mark.parametrize("gather", [0, 150, hotdeck.GATHER, 10_000])
+def test_donors_are_the_closest_of_all(spark, gather):
     rng = random.Random(3)
     pick = lambda *x: rng.choice(x)
-    rows = [(i, pick(None, float(i), float(i)), pick(1, 2), pick(None, "p", "q", "r", "s"), pick("a", "a", "b", None), pick(1, 2, 3), pick(None, *[float(x) for x in (*range(0, 40), 150, 1020, 1024, 1030, 2500)])) for i in range(600)]
+    rows = [(i, pick(None, float(i), float(i)), pick(1, 2, 2), pick(None, "p", "q", "r", "s"), pick("a", "a", "b", None), pick(1, 2, 3), pick(None, *[float(x) for x in (*range(0, 40), 150, 1020, 1024, 1030, 2500)])) for i in range(600)]
     df = spark.createDataFrame(rows, "record long, value double, feature_id long, subject string, class string, batch int, run double")
     features = ["subject", "class", "batch"]
-    got = {r["record"]: r["donors"] for r in hotdeck.fill(df, hotdeck.combined(["feature_id"], features), "run", features, numeric=True).filter("filled").collect()}
+    got = {r["record"]: r["donors"] for r in hotdeck.fill(df, hotdeck.combined(["feature_id"], features), "run", features, numeric=True, gather=gather).filter("filled").collect()}
 
     def distance(a, b):
         gap = 100.0 if a[6] is None or b[6] is None else abs(a[6] - b[6])
@@ -80,3 +82,11 @@ def test_found_comes_from_the_fill(spark):
 
     hotdeck.found(areas.withColumn("n_donors", count("n_donors")), cls).count()
     assert seen.value == areas.count()
+
+
+def test_cells_without_a_key_or_an_injection(spark):
+    _, samples, classes = tables(spark)
+    cells = spark.createDataFrame([(1, 1, None, None, "x"), (2, 1, None, 4.0, "x"), (3, None, 7, None, "x"), (4, 99, 7, 2.5, "x"), (4, 99, 7, 2.5, "x"), (None, 1, 7, 3.0, "x")], CELLS)
+    for gather in (0, 256):
+        got = {r["record"]: (r["value"], r["filled"], r["n_donors"]) for r in hotdeck.fill_areas(cells, samples, classes, gather).collect()}
+        assert got == {1: (None, True, 0), 2: (4.0, False, 0), 3: (2.5, True, 1), 4: (2.5, False, 0)}
