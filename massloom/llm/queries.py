@@ -44,7 +44,8 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_matches(spark, d).select("feature_id", "partner_id")
+    pairs = matching.accepted(_features(spark, d), table(spark, d, "sample_metadata"), table(spark, d, "partner_features"))[2]
+    return pairs.select("feature_id", "partner_id")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:

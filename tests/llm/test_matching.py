@@ -1,3 +1,5 @@
+import numpy as np
+
 from massloom.llm import matching
 
 F_SCHEMA = "feature_id long, study string, mz double, rt_sec double, polarity int, top_sample_id long, name string"
@@ -52,3 +54,47 @@ def test_rules(spark):
 def test_empty(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [(1, "K", 300.1, 100.0, 1, 2, "x")], []) == set()
+
+
+def test_digits_for_letters(spark):
+    got = parts(spark, ["s1mi000189-b2-s015", "S1GO48.b3.inj20", "b1ke176_b2_inj13"])
+    assert [g[0] for g in got.values()] == [189, 48, 176] and [g[2:] for g in got.values()] == [(2, 15), (3, 20), (2, 13)]
+
+
+def test_curve_follows_the_bins():
+    gap = np.arange(20) / 4 + 0.125
+    n = np.full(20, 200.0)
+    true = 1 / (1 + np.exp(1.5 - 2.0 * gap))
+    z = np.stack([np.ones(20), gap], 1)
+    a = matching.fit_logistic(np.concatenate([z, z]), np.repeat([1.0, 0.0], 20), np.concatenate([n * true, n * (1 - true)]))
+    assert np.abs(1 / (1 + np.exp(-z @ a)) - true).max() < 0.01
+    # bins that a step separates leave the curve finite
+    b = matching.fit_logistic(np.concatenate([z, z]), np.repeat([1.0, 0.0], 20), np.concatenate([n * (gap > 2), n * (gap <= 2)]))
+    assert np.isfinite(b).all() and 1 / (1 + np.exp(-z @ b))[-1] > 0.99
+
+
+def test_ranking_decides(spark):
+    """Letters of two studies are near the label's: the nearer one is taken; a tie takes none."""
+    names = [(1, "KEVO000047-B1-S001"), (2, "KEVA000048-B1-S001"), (3, "XYLO000049-B1-S001")]
+    f = [(i, f"s{i}", 300.1, 100.0, 1, i, "x") for i in (1, 2, 3)]
+    r = [(11, "l", 300.1, 100.0, "+", "kevo-b1-s1", "x"), (12, "l", 300.1, 100.0, "+", "b1-s1", "x"), (13, "m", 300.1, 101.0, "+", "KEVO47 b1 s1", "x"), (14, "m", 300.1, 103.0, "+", "KEVO47 b1 s1", "x")]
+    docs, queries, pairs = matching.accepted(spark.createDataFrame(f, F_SCHEMA), spark.createDataFrame(names, S_SCHEMA), spark.createDataFrame(r, R_SCHEMA))
+    got = {(x["feature_id"], x["partner_id"]): (x["gap"] > 0, x["mutual"]) for x in pairs.collect()}
+    # 13 and 14 are of one laboratory: both match, the nearer one mutually
+    assert got == {(1, 11): (True, True), (1, 13): (True, True), (1, 14): (True, False)}
+    bins = matching.calibration_bins(docs, queries)
+    assert sum(b[3] for b in bins) > 0 and all(b[4] <= b[3] for b in bins)
+    conf = [x["confidence"] for x in pairs.select(matching.confidence_of(matching.calibrate(docs, queries), pairs.gap, pairs.mutual).alias("confidence")).collect()]
+    assert all(0 < c < 1 for c in conf)
+
+
+def test_calibration_error(spark, small):
+    """Confidence follows what masked reports got right, to 0.05 on average."""
+    from massloom.llm import queries as q
+    from massloom.session import table
+
+    docs, queries, _ = matching.accepted(q._features(spark, small), table(spark, small, "sample_metadata"), table(spark, small, "partner_features"))
+    bins = matching.calibration_bins(docs, queries)
+    a, b, tie, both = matching.calibrate(docs, queries)
+    error = sum(abs(n / (1 + np.exp(-(a + b * g + tie * t + both * m))) - right) for g, t, m, n, right in bins)
+    assert error / sum(x[3] for x in bins) < 0.05
