@@ -1,12 +1,13 @@
 """Quantities written in different units: bring retention and reading times to seconds.
 
-Unit of every value is chosen among s, min, ms and h as the one with the smallest
-sum of squared log residuals of physical identities that must hold between columns:
+Units of all columns are chosen together, among s, min, ms and h, as the combination with
+the smallest sum of squared log residuals of physical identities between the columns:
 
 * span:   value * unit lies between the dead time and the planned length of the run
-* tick:   10^-decimals * unit = the clock's tick of about a millisecond
 * width:  (end - start) * unit = a chromatographic peak's width
 * step:   (time per reading) * unit = the wanted grid's order of magnitude
+* clock:  readings of one trace lie on one clock: time * unit of some of them = the time
+  that the others' clock shows at their scan numbers
 * text:   value * unit = number * unit quoted in free text
 * claims: the unit field, a sentence about the axis in the row's own text and one in
   the text of its study each add a penalty to the units that they do not name
@@ -28,13 +29,13 @@ from massloom.session import cut
 
 #: seconds of each candidate unit
 UNITS = {"s": 1.0, "min": 60.0, "ms": 0.001, "h": 3600.0}
-#: decimals with which a millisecond clock is written in each unit
-DECIMALS = {"s": 3, "min": 5, "ms": 0, "h": 7}
 UNIQUE_MARGIN = 2.0
 #: features chosen with this margin vote for the unit of their study's other features
 FIRM_MARGIN = 8.0
 DEAD_TIME_S = 5.0
 PEAK_WIDTH_S = 20.0
+#: readings off the clock of the others by this factor have a residual of one
+CLOCK_FACTOR = 2.0
 
 #: fixed values: spellings of the units
 SPELLED = {
@@ -77,12 +78,6 @@ def unit_of_text(c: Column) -> Column:
     return out
 
 
-def decimals(c: Column) -> Column:
-    """Number of decimals, eight at most, that a value was written with; NULL for no finite value."""
-    written = F.split_part(c.try_cast("decimal(20,8)").cast("string"), F.lit("."), F.lit(2))
-    return F.when(is_number(c), F.coalesce(F.length(F.regexp_replace(written, "0+$", "")), F.lit(0)))
-
-
 def is_number(c: Column) -> Column:
     """Neither null, NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -96,12 +91,6 @@ def _claim(claimed: Column, unit: str, cost: float) -> Column:
     return F.when(claimed.isNotNull() & (claimed != unit), F.lit(cost))
 
 
-def _tick(dec: Column, unit: str) -> Column:
-    """-2 ln P(decimals | unit): zeros at the end are lost with odds of one in ten each."""
-    d = F.lit(DECIMALS[unit])
-    return F.when(dec > d, 14.0 + 2.0 * (dec - d)).when(dec < d, 4.6 * (d - dec)).when(dec == d, F.lit(0.2))
-
-
 def best_unit(df: DataFrame, costs: dict[str, list[Column]]) -> DataFrame:
     """Adds unit, unit_margin and unit_unique, and each unit's sum of costs as _cost_<unit>."""
     for u, cs in costs.items():
@@ -129,6 +118,12 @@ def to_seconds(value: Column, unit: Column) -> Column:
     return F.round(value * factor(unit), 6)
 
 
+def _written(c: Column) -> Column:
+    """0, 3, 5 or 7: so many decimals are enough to write the value."""
+    one = lambda k: F.abs(c * float(10**k) - F.rint(c * float(10**k))) <= 1e-5 + F.abs(c) * 10.0 ** (k - 12)
+    return F.when(one(0), 0).when(one(3), 3).when(one(5), 5).otherwise(7)
+
+
 def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
     """Retention of features in seconds.
 
@@ -142,7 +137,6 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
     made = ["rt_declared", "unit", "unit_margin", "unit_unique", "rt_sec", "rt_start_sec", "rt_end_sec"]
     base = features.drop(*made)
     known = study.groupBy("study").agg(F.max("run_seconds").alias("_run"), F.max(unit_of_text(F.col("note"))).alias("_note")).filter(F.col("study").isNotNull())
-    dec = F.greatest(*[decimals(F.col(c)) for c in ("rt", "rt_start", "rt_end")])
     quoted = F.regexp_extract(F.lower("remark"), _QUOTED + r"(millisec[a-z]*|msec|ms|seconds?|sec|s|minutes?|mins?|hours?|h)\b", 1)
     quoted_unit = unit_of_spelling(F.regexp_extract(F.lower("remark"), _QUOTED + r"(millisec[a-z]*|msec|ms|seconds?|sec|s|minutes?|mins?|hours?|h)\b", 2))
     df = (
@@ -150,7 +144,6 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
         .withColumn("rt_declared", unit_of_spelling(F.col("rt_unit")))
         .withColumn("_said", unit_of_text(F.col("remark")))
         .withColumn("_quoted_s", quoted.try_cast("double") * factor(quoted_unit))
-        .withColumn("_dec", dec)
         .withColumn("_rt", F.when(is_number(F.col("rt")) & (F.col("rt") > 0), F.col("rt")))
         .withColumn("_w", F.when(is_number(F.col("rt_start")) & is_number(F.col("rt_end")) & (F.col("rt_end") > F.col("rt_start")), F.col("rt_end") - F.col("rt_start")))
     )
@@ -160,7 +153,6 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
             _claim(F.col("_said"), u, 12.0),
             _claim(F.col("_note"), u, 12.0),
             F.when(F.col("_quoted_s").isNotNull(), F.least(_sq_log(F.col("_rt") * s / F.col("_quoted_s"), 1.1), F.lit(16.0))),
-            _tick(F.col("_dec"), u),
             F.when(F.col("_rt") * s > F.col("_run") * 1.02, F.lit(30.0)),
             F.when(F.col("_rt") * s < DEAD_TIME_S, F.lit(20.0)),
             _sq_log(F.col("_w") * s / PEAK_WIDTH_S, 3.0),
@@ -169,11 +161,15 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
     }
     # written once: the patterns run once, and no later filter drags these expressions along
     first = cut(best_unit(df, own))
-    # what the firmly settled features of the same export were written in
+    # what the firmly settled features of the same export were written in, those of as many decimals first
     firm = F.col("_rt").isNotNull() & (F.col("unit_margin") >= FIRM_MARGIN)
-    votes = first.filter(firm).groupBy("study").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("unit") == u).alias(f"_n_{u}") for u in UNITS])
-    second = first.join(votes, "study", "left")
-    share = {u: -2.0 * F.log((F.col(f"_n_{u}") + 0.2) / (F.col("_n") + 0.8)) for u in UNITS}
+    counts = [F.sum(f"_n_{u}").alias(f"_n_{u}") for u in UNITS]
+    alike = first.filter(firm).groupBy("study", _written(F.col("_rt")).alias("_dec")).agg(*[F.count_if(F.col("unit") == u).alias(f"_n_{u}") for u in UNITS])
+    votes = alike.groupBy("study").agg(*counts)
+    second = first.withColumn("_dec", _written(F.col("_rt"))).join(votes, "study", "left").join(alike.withColumnsRenamed({f"_n_{u}": f"_k_{u}" for u in UNITS}), ["study", "_dec"], "left")
+    n, k = (reduce(lambda a, b: a + b, [F.coalesce(f"{c}_{u}", F.lit(0)) for u in UNITS]) for c in ("_n", "_k"))
+    of_study = {u: (F.coalesce(f"_n_{u}", F.lit(0)) + 0.2) / (n + 0.8) for u in UNITS}
+    share = {u: -2.0 * F.log((F.coalesce(f"_k_{u}", F.lit(0)) + 0.8 * of_study[u]) / (k + 0.8)) for u in UNITS}
     out = best_unit(second, {u: [F.col(f"_cost_{u}"), share[u]] for u in UNITS})
     has = is_number(F.col("rt"))
     out = out.withColumn("unit", F.when(has, F.col("unit"))).withColumn("unit_margin", F.when(has, F.col("unit_margin"))).withColumn("unit_unique", F.when(has, F.col("unit_unique")))
@@ -182,17 +178,11 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
     return out.select(*base.columns, *made)
 
 
-#: readings of a trace are classed by their decimals before their unit is chosen
-def _written(c: Column) -> Column:
-    """0, 3, 5 or 7: the coarsest clock that can have written the value."""
-    one = lambda k: F.abs(c * float(10**k) - F.rint(c * float(10**k))) <= 1e-5 + F.abs(c) * 10.0 ** (k - 12)
-    return F.when(one(0), 0).when(one(3), 3).when(one(5), 5).otherwise(7)
-
-
 def reading_class(time: Column, time_unit: Column) -> Column:
     """Readings of one trace with the same class share one unit: declared unit and decimals.
 
-    Traces may change their unit on the way, so a trace alone is too coarse a group.
+    Traces may change their unit on the way, so a trace alone is too coarse a group. The
+    decimals only tell readings apart; which unit they mean is left to the identities.
     """
     return F.concat_ws("|", F.coalesce(unit_of_spelling(time_unit), F.lit("?")), _written(time).cast("string"))
 
@@ -204,46 +194,52 @@ def trace_units(readings: DataFrame, trace: DataFrame) -> DataFrame:
     grid_seconds and note. The planned length of the run sets no limit here: recorders are
     left on after it. Readings without a finite time take no part. One scan of the readings, aggregated
     before the shuffle to at most four rows for each trace and declared unit, so a trace
-    that holds a third of all rows costs no more than another. Few readings that were
-    written with fewer decimals only lost zeros and follow their trace's larger class.
+    that holds a third of all rows costs no more than another.
+
+    A trace's classes are solved together: for each unit of its largest class, the other
+    classes take the units with the least residuals of their own and of the clock that
+    it sets; the combination with the least sum stands, whatever the size of a class.
+    The margin is that of the class within it or of the whole, whichever is less.
     """
-    r = readings.filter(is_number(F.col("time")))
+    r = readings.filter(is_number(F.col("time"))).withColumn("_scan", F.col("scan").cast("double"))
+    sums = [F.sum("n").alias("n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"), F.min("_s0").alias("_s0"), F.max("_s1").alias("_s1"), F.sum("_t").alias("_t"), F.sum("_s").alias("_s")]
     g = (
         r.groupBy("trace_id", F.coalesce(F.col("time_unit"), F.lit("?")).alias("_spelled"), _written(F.col("time")).alias("_dec"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.min("scan").alias("_s0"), F.max("scan").alias("_s1"))
-        .withColumn("_declared", unit_of_spelling(F.col("_spelled")))
-    )
-    g = g.groupBy("trace_id", "_declared", "_dec").agg(F.sum("n").alias("n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"), F.min("_s0").alias("_s0"), F.max("_s1").alias("_s1"))
-    # four decimal classes of one declared unit beside each other
-    parts = g.groupBy("trace_id", "_declared").agg(
-        F.sum("n").alias("_all"),
-        F.max(F.struct("_dec", "n")).alias("_finest"),
-        F.max(F.when(F.col("_dec") <= 3, F.col("n"))).alias("_low"),
-        F.collect_list(F.struct("_dec", "n", "_t0", "_t1", "_s0", "_s1")).alias("_classes"),
-    )
-    # a class is merged into the finest one when it is as small as lost zeros make it
-    finest = F.col("_finest._dec")
-    merged = parts.withColumn("_merge", F.transform("_classes", lambda x: F.when((x["_dec"] < finest) & (x["n"] <= F.greatest(F.lit(2), F.col("_all") * 0.2)), finest).otherwise(x["_dec"])))
-    flat = merged.select("trace_id", "_declared", F.explode(F.arrays_zip("_classes", "_merge")).alias("x")).select("trace_id", "_declared", F.col("x._merge").alias("_group"), "x._classes.*")
-    groups = flat.groupBy("trace_id", "_declared", "_group").agg(
-        F.sum("n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"), F.min("_s0").alias("_s0"), F.max("_s1").alias("_s1"), F.collect_list(F.struct(F.col("_dec").alias("dec"), F.col("n").alias("n"))).alias("_members")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.min("scan").alias("_s0"), F.max("scan").alias("_s1"), F.avg("time").alias("_mt"), F.avg("_scan").alias("_ms"))
+        .select("*", (F.col("n") * F.col("_mt")).alias("_t"), (F.col("n") * F.col("_ms")).alias("_s"), unit_of_spelling(F.col("_spelled")).alias("_declared"))
     )
+    g = g.groupBy("trace_id", "_declared", "_dec").agg(*sums)
     about = trace.groupBy("trace_id").agg(F.max("grid_seconds").alias("_grid"), F.max(unit_of_text(F.col("note"))).alias("_note"))
-    df = groups.join(about, "trace_id", "left").withColumn("_step", (F.col("_t1") - F.col("_t0")) / F.nullif(F.col("_s1") - F.col("_s0"), F.lit(0)))
-    costs = {
-        u: [
+    lead = g.groupBy("trace_id").agg(F.max(F.struct("n", "_dec", "_t0", "_t1", "_s0", "_s1")).alias("_lead"))
+    # (a trace has a few classes, so that all this is small)
+    df = g.join(lead, "trace_id").join(about, "trace_id", "left").withColumn("_step", (F.col("_t1") - F.col("_t0")) / F.nullif(F.col("_s1") - F.col("_s0"), F.lit(0)))
+    slope = (F.col("_lead._t1") - F.col("_lead._t0")) / F.nullif(F.col("_lead._s1") - F.col("_lead._s0"), F.lit(0))
+    shown = F.col("_lead._t0") + slope * (F.col("_s") / F.col("n") - F.col("_lead._s0"))
+    df = df.withColumn("_ratio", F.when((shown > 0) & (F.col("_t") > 0), F.col("_t") / F.col("n") / shown))
+    own = {
+        u: reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) for c in (
             _claim(F.col("_declared"), u, 10.0),
             _claim(F.col("_note"), u, 7.0) * F.when(F.col("_declared").isNull(), 1.0).otherwise(0.0),
-            _tick(F.col("_group"), u),
             F.when(F.col("_t1") * s < DEAD_TIME_S, F.lit(12.0)),
-            F.least(_sq_log(F.col("_step") * s / F.sqrt(F.col("_grid")), 5.0), F.lit(16.0)),
-        ]
+            # gaps lengthen a step, nothing shortens it
+            F.least(_sq_log(F.col("_step") * s / F.sqrt(F.col("_grid")), 5.0), F.when(F.col("_step") * s > F.sqrt(F.col("_grid")), 9.0).otherwise(16.0)),
+        )])
         for u, s in UNITS.items()
-    }
-    # a few rows for each trace
-    out = cut(best_unit(df, costs).select("trace_id", "_declared", "_members", "_s1", "unit", "unit_margin", "unit_unique"))
-    return out.select("trace_id", "_declared", F.explode("_members").alias("m"), F.col("_s1").alias("last_scan"), "unit", "unit_margin", "unit_unique").select(
-        "trace_id", F.concat_ws("|", F.coalesce("_declared", F.lit("?")), F.col("m.dec").cast("string")).alias("class"), F.col("m.n").alias("n"), "last_scan", "unit", "unit_margin", "unit_unique"
+    }
+    df = df.select("trace_id", "_declared", "_dec", "n", "_s1", "_ratio", *[c.alias(f"_own_{u}") for u, c in own.items()])
+    cost = {(u, v): F.col(f"_own_{u}") + F.coalesce(F.least(_sq_log(F.col("_ratio") * s / t, CLOCK_FACTOR), F.lit(30.0)), F.lit(0.0)) for u, s in UNITS.items() for v, t in UNITS.items()}
+    given = {v: F.sort_array(F.array(*[F.struct(cost[u, v].alias("cost"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(UNITS)])) for v in UNITS}
+    # written once: a few rows for each trace
+    df = cut(df.select("trace_id", "_declared", "_dec", "n", "_s1", *[g.alias(f"_given_{v}") for v, g in given.items()]))
+    total = df.groupBy("trace_id").agg(*[F.sum(F.col(f"_given_{v}")[0]["cost"]).alias(f"_cost_{v}") for v in UNITS])
+    total = total.select("trace_id", F.sort_array(F.array(*[F.struct(F.col(f"_cost_{v}").alias("cost"), F.lit(i).alias("rank"), F.lit(v).alias("unit")) for i, v in enumerate(UNITS)])).alias("_all"))
+    best = reduce(lambda c, v: F.when(F.col("_all")[0]["unit"] == v, F.col(f"_given_{v}")).otherwise(c), UNITS, F.lit(None))
+    second = reduce(lambda c, v: F.when(F.col("_all")[1]["unit"] == v, F.col(f"_given_{v}")).otherwise(c), UNITS, F.lit(None))
+    out = df.join(total, "trace_id").withColumn("_best", best).withColumn("_second", second)
+    whole = F.when(F.col("_best")[0]["unit"] != F.col("_second")[0]["unit"], F.col("_all")[1]["cost"] - F.col("_all")[0]["cost"])
+    out = out.withColumn("unit_margin", F.least(F.col("_best")[1]["cost"] - F.col("_best")[0]["cost"], whole))
+    return out.select(
+        "trace_id", F.concat_ws("|", F.coalesce("_declared", F.lit("?")), F.col("_dec").cast("string")).alias("class"), "n", F.col("_s1").alias("last_scan"), F.col("_best")[0]["unit"].alias("unit"), "unit_margin", (F.col("unit_margin") >= UNIQUE_MARGIN).alias("unit_unique")
     )
 
 

@@ -105,3 +105,22 @@ def test_long_gaps_cross_blocks(spark):
     out = grid.regular(r, t)
     n = math.floor(last / 2) - 5 - 1
     assert grid.found(out).count() == n and out.filter("state = 'missing'").agg(F.countDistinct("period_no")).first()[0] == n
+
+
+def test_few_readings_in_another_unit(spark):
+    """A tenth of the readings, undeclared, in another unit; lost zeros stay with their trace's unit."""
+    at = [20.017 + i * 1.213 for i in range(200)]
+    rows = [(1, i, round(t, 3) if 90 <= i < 110 else round(t / 60, 5), None, 1.0) for i, t in enumerate(at)]
+    r, t = readings(spark, rows)
+    u = {x["class"]: (x["unit"], x["unit_unique"]) for x in units.trace_units(r, t).collect()}
+    assert u["?|5"] == ("min", True) and u["?|3"][0] == "s"
+    r, t = readings(spark, rows[:90] + rows[110:])
+    u = {x["class"]: x["unit"] for x in units.trace_units(r, t).collect()}
+    assert set(u.values()) == {"min"}
+
+
+def test_declared_seconds_off_the_clock(spark):
+    """Readings declared in seconds that lie on the clock of the others' minutes are minutes."""
+    at = [30.017 + i * 1.213 for i in range(300)]
+    r, t = readings(spark, [(1, i, round(x / 60, 5), "s" if 100 <= i < 120 else "min", 1.0) for i, x in enumerate(at)])
+    assert {x["unit"] for x in units.trace_units(r, t).collect()} == {"min"}
