@@ -33,31 +33,32 @@ def _spread(d: np.ndarray, robust: bool) -> float:
     return float(d.std())
 
 
+def _local_noise(y: np.ndarray, robust: bool) -> float:
+    d = np.diff(y, 2)
+    if len(d) < 2:
+        return 0.0
+    ranked, level = d[np.argsort(np.abs(d), kind="stable")], 0.0
+    for tenths in range(9, 2, -1):
+        kept = ranked[: tenths * len(d) // 10]
+        if len(kept) < 3:
+            break
+        level = _spread(kept, robust)
+        if abs(np.median(kept) if robust else kept.mean()) <= level or level == 0:
+            break
+    return level / 2 if level > 2e-8 else float(d.std())
+
+
 def noise_level(y: np.ndarray, min_slice: int = 200, slices: int = 5, robust: bool = True) -> np.ndarray:
-    """Noise of every point, constant within a slice.
+    """Noise of every point, constant within a slice; a short rest belongs to the last slice.
 
-    Taken as half the spread of the second difference. The largest differences, which
-    come from peaks, are left out step by step until what is left is centred on 0.
+    Half the spread of the second difference. Its largest values, which come from
+    peaks, are left out by tenths, from a tenth to seven, until the rest is centred on 0.
     """
-    n = len(y)
-    out = np.zeros(n)
-    size = max(int(math.ceil(n / slices)), min_slice)
-    for start in range(0, n, size):
-        part = np.asarray(y[start : start + size], float)
-        if len(part) < 3:
-            out[start : start + size] = out[start - 1] if start else 0.0
-            continue
-        d = np.diff(part, 2)
-        ranked = d[np.argsort(np.abs(d))]
-        level = ranked.std()
-        for q in range(90, 0, -5):
-            kept = ranked[: max(2, int(len(ranked) * q / 100))]
-            s = kept.std()
-            if s == 0 or abs(kept.mean()) / s <= 1:
-                level = _spread(kept, robust)
-                break
-        out[start : start + size] = level / 2
-    return out
+    y = np.asarray(y, float)
+    size = max(len(y) // slices, min_slice)
+    number = max(0, (len(y) - min_slice) // size) + 1
+    edges = [*range(0, number * size, size), len(y)]
+    return np.concatenate([np.full(max(0, b - a), _local_noise(y[a:b], robust)) for a, b in zip(edges, edges[1:])]) if len(y) else np.zeros(0)
 
 
 def local_extrema(y: np.ndarray) -> np.ndarray:
@@ -78,9 +79,9 @@ def local_extrema(y: np.ndarray) -> np.ndarray:
 def baseline(y: np.ndarray, noise: np.ndarray, min_p: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Baseline curve and the indices of its points.
 
-    Between two extrema the curve is noise if its rise is likely to be; slices that are,
-    and whose neighbours are, belong to the baseline, which is drawn linearly through
-    its points and never above the curve.
+    Between two extrema the curve is noise if what lies above the lower one is likely to be
+    a sum of noise; slices that are, and whose neighbours are, belong to the baseline, which
+    is drawn linearly through its points and never above the curve.
     """
     n = len(y)
     ext = local_extrema(y)
@@ -89,9 +90,9 @@ def baseline(y: np.ndarray, noise: np.ndarray, min_p: float = 0.05) -> tuple[np.
     else:
         p = np.ones(len(ext) - 1)
         for k, (a, b) in enumerate(zip(ext[:-1], ext[1:])):
-            sigma = math.sqrt(noise[a] ** 2 + noise[b] ** 2)
-            rise = abs(y[b] - y[a])
-            p[k] = math.erfc(rise / (sigma * math.sqrt(2))) if sigma > 0 else float(rise == 0)
+            sigma = math.sqrt(float((noise[a : b + 1] ** 2).sum()))
+            above = float((y[a : b + 1] - min(y[a], y[b])).sum())
+            p[k] = math.erfc(above / (sigma * math.sqrt(2))) if sigma > 0 else float(above == 0)
         quiet = p >= min_p
         around = quiet & np.concatenate([[True], quiet[:-1]]) & np.concatenate([quiet[1:], [True]])
         keep = np.zeros(n, bool)
@@ -134,15 +135,25 @@ def prominent_maxima(y: np.ndarray, prominence: np.ndarray, distance: int = 3) -
     return np.array(out, int)
 
 
-def detect_peaks(y: np.ndarray, noise: np.ndarray, base: np.ndarray, points: np.ndarray, times_noise: float = 3.0) -> list[tuple[int, int, int]]:
+def _interior_maxima(y: np.ndarray) -> np.ndarray:
+    return prominent_maxima(y, np.full(len(y), -np.inf), 0)
+
+
+def detect_peaks(y: np.ndarray, noise: np.ndarray, base: np.ndarray, times_noise: float = 3.0, min_snr: float | None = None) -> list[tuple[int, int, int]]:
     """(start, apex, end) of peaks: maxima above the noise, reaching to the nearest baseline points.
 
-    Peaks that overlap are parted at the lowest point between their maxima. end is one past
-    the last point.
+    A point is baseline if it is less than the noise above it; a maximum that is one is no
+    peak. Peaks that overlap are parted at the lowest point between their maxima. The apex
+    is the highest maximum inside the limits. end is one past the last point.
     """
+    points = np.flatnonzero(y - base < noise)
+    if len(points) == 0:
+        points = np.array([0, len(y) - 1])
     at_base = np.zeros(len(y), bool)
     at_base[points] = True
     tops = [p for p in prominent_maxima(y, times_noise * noise) if not at_base[p]]
+    if min_snr is not None:
+        tops = [p for p in tops if noise[p] <= 1e-12 or (y[p] - base[p]) / noise[p] > min_snr]
     found: list[list[int]] = []
     for p in tops:
         left, right = points[points < p], points[points > p]
@@ -153,7 +164,13 @@ def detect_peaks(y: np.ndarray, noise: np.ndarray, base: np.ndarray, points: np.
             low = before[1] + int(np.argmin(y[before[1] : p + 1]))
             before[2], start = low + 1, low
         found.append([start, int(p), end])
-    return [(a, b, c) for a, b, c in found if a < b < c - 1]
+    maxima = _interior_maxima(y)
+    out = []
+    for a, _, b in found:
+        inside = maxima[(maxima > a) & (maxima < b - 1)]
+        if len(inside):
+            out.append((a, int(inside[np.argmax(y[inside])]), b))
+    return out
 
 
 def describe_peak(time: np.ndarray, y: np.ndarray, mz: np.ndarray | None, noise: np.ndarray, base: np.ndarray, peak: tuple[int, int, int]) -> dict[str, float]:
@@ -190,19 +207,18 @@ def pick(time: np.ndarray, y: np.ndarray, mz: np.ndarray | None = None, smoothin
         return []
     s = gaussian_smooth(y, smoothing)
     noise = noise_level(s)
-    base, points = baseline(s, noise)
-    return [describe_peak(time, s, mz, noise, base, p) | {"start": p[0], "apex": p[1], "end": p[2]} for p in detect_peaks(s, noise, base, points, times_noise)]
+    base, _ = baseline(s, noise)
+    return [describe_peak(time, s, mz, noise, base, p) | {"start": p[0], "apex": p[1], "end": p[2]} for p in detect_peaks(s, noise, base, times_noise)]
 
 
 def centroids(mz: np.ndarray, y: np.ndarray, min_snr: float = 10.0, min_distance: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Masses and intensities of the peaks of a profile spectrum; closer ones are merged."""
     noise = noise_level(y)
-    base, points = baseline(y, noise)
+    base, _ = baseline(y, noise)
     out = []
-    for a, apex, b in detect_peaks(y, noise, base, points):
-        if noise[apex] <= 1e-12 or (y[apex] - base[apex]) / noise[apex] > min_snr:
-            w = y[a:b]
-            out.append([float((w * mz[a:b]).sum() / w.sum()), float(w.sum())])
+    for a, _, b in detect_peaks(y, noise, base, min_snr=min_snr):
+        w = y[a:b]
+        out.append([float((w * mz[a:b]).sum() / w.sum()), float(w.sum())])
     merged: list[list[float]] = []
     for m, i in out:
         if merged and m - merged[-1][0] < min_distance:
@@ -331,35 +347,51 @@ def diagonal_mixture(x: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarr
     return mu, np.sqrt(var)
 
 
-def student_tail(t: float, df: float) -> float:
-    """P(T > t) of Student's distribution, by the incomplete beta function's continued fraction."""
-    if not math.isfinite(t):
-        return 0.0 if t > 0 else 1.0
-    x = df / (df + t * t)
-    half = 0.5 * incomplete_beta(df / 2, 0.5, x)
-    return half if t > 0 else 1 - half
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), tiny) * math.copysign(1, 1 - (a + b) * x / (a + 1))
-    h = d
+def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(T > t) of Student's distribution for arrays, by the incomplete beta function's continued fraction.
+
+    NaN where t or df is NaN or df isn't above 0; df of infinity is the normal distribution.
+    """
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    normal = np.isinf(df)
+    n = np.where(normal, 1.0, df)
+    with np.errstate(all="ignore"):
+        x = np.where(np.isinf(t), 0.0, n / (n + t * t))
+        half = 0.5 * incomplete_beta(n / 2, np.full(n.shape, 0.5), x)
+        # P(1/2, z^2 / 2) of the incomplete gamma function is the limit
+        half = np.where(normal, 0.5 * np.array([math.erfc(abs(v) / math.sqrt(2)) if normal_ else 0.0 for v, normal_ in zip(t.ravel(), normal.ravel())]).reshape(t.shape), half)
+        out = np.where(t > 0, half, 1 - half)
+    return np.where(np.isnan(t) | ~(df > 0), np.nan, out)
+
+
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of arrays."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    # the fraction converges fast below the mean; above it, the other tail is taken
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, z = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inside = (z > 0) & (z < 1) & (a > 0) & (b > 0)
+    a, b, z = np.where(inside, a, 1.0), np.where(inside, b, 1.0), np.where(inside, z, 0.5)
+    ids = np.unique(np.stack([a.ravel(), b.ravel()]), axis=1, return_inverse=True)
+    front = (_log_gamma(ids[0][0] + ids[0][1]) - _log_gamma(ids[0][0]) - _log_gamma(ids[0][1]))[ids[1].ravel()].reshape(a.shape) if a.size else np.zeros(a.shape)
+    front = np.exp(front + a * np.log(z) + b * np.log1p(-z)) / a
+    small = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones(a.shape), 1 / small(1 - (a + b) * z / (a + 1))
+    h = d.copy()
     for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
+        step = np.ones(a.shape)
+        for num in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / small(1 + num * d)
+            c = small(1 + num / c)
+            step = d * c
+            h = h * step
+        if not a.size or np.abs(step - 1).max() < 1e-14:
             break
-    return front * h
+    value = np.where(inside, front * h, 0.0)
+    return np.where(turn, 1 - value, value)
 
 
 def knn_fill(x: np.ndarray, k: int) -> np.ndarray:

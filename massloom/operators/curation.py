@@ -97,7 +97,9 @@ def dilution_filter(matrix: DataFrame, dqc: Sequence[str], min_corr: float = 0.8
     m = matrix.filter(F.col("class").isin(list(dqc)))
     if mode == "ols":
         fit = metrics.ols(m, dilution)
-        ok = fit.filter((F.col("r2") >= min_corr) & (F.col("jb_p") >= p_limit))
+        # a perfect fit that isn't level has no residuals to be judged
+        perfect = (F.col("r2") > 1 - 1e-12) & (F.abs("slope") > 1e-12)
+        ok = fit.filter((F.col("r2") >= min_corr) & (perfect | (F.col("jb_p") >= p_limit)))
     elif mode == "pearson":
         ok = metrics.pearson(m, dilution).filter(F.col("r") >= min_corr)
     elif mode == "spearman":

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from massloom.functions import kernels
 from massloom.operators import metrics, raw
 from massloom.operators.metrics import ratio
+from massloom.session import small
 
 
 def spots(tic: DataFrame, threshold: float, start: float = 0.0, end: float = float("inf"), by: str = "sample") -> DataFrame:
@@ -92,8 +93,11 @@ def crude_clusters(signals: DataFrame, gap_ppm: float, by: Sequence[str] = ("sam
 def refine(signals: DataFrame, keys: Sequence[str], near_ppm: float = 20.0, width_ppm: float = 25.0, std_ppm: float | None = None) -> DataFrame:
     """Adds fine: parts of each crude cluster grown from its closest pair; -1 for what is left alone.
 
-    Growing is sequential; a group is one crude cluster of one sample, whose width is
-    bounded by the gap, and the work is linear in its size.
+    A part takes the neighbour nearer to its centre, as long as it is near enough to the
+    part's edge and the part stays narrow enough. The centre is the first mass, or, where
+    the deviation is limited too, the mean by intensity. A signal is taken once. Growing is
+    sequential; a group is one crude cluster of one sample, whose width is bounded by the
+    gap, and the work is linear in its size.
     """
     from pyspark.sql import types as T
 
@@ -102,30 +106,34 @@ def refine(signals: DataFrame, keys: Sequence[str], near_ppm: float = 20.0, widt
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("mz", kind="stable")
         m = pdf["mz"].to_numpy(float)
+        w = pdf["spint"].to_numpy(float) if std_ppm is not None else np.ones(len(m))
+        # sums of w, w m and w m m up to each place; masses from the first one, for their digits
+        z = m - m[0]
+        sums = np.concatenate([np.zeros((3, 1)), np.cumsum([w, w * z, w * z * z], axis=1)], axis=1)
         label = np.full(len(m), -1)
         free = np.ones(len(m), bool)
-        gap = np.diff(m) / m[:-1] * 1e6 if len(m) > 1 else np.zeros(0)
         number = 0
-        for seed in np.argsort(gap, kind="stable"):
-            if gap[seed] > near_ppm or not (free[seed] and free[seed + 1]):
+        for seed in np.argsort(np.diff(m), kind="stable"):
+            if not (free[seed] and free[seed + 1]):
                 continue
-            lo, hi = seed, seed + 1
-            s1, s2 = m[lo] + m[hi], m[lo] ** 2 + m[hi] ** 2
+            lo = hi = seed
+            centre = m[seed]
             while True:
-                left = gap[lo - 1] if lo > 0 and free[lo - 1] else np.inf
-                right = gap[hi] if hi + 1 < len(m) and free[hi + 1] else np.inf
-                if min(left, right) > near_ppm:
+                left = centre - m[lo - 1] if lo > 0 and free[lo - 1] else np.inf
+                right = m[hi + 1] - centre if hi + 1 < len(m) and free[hi + 1] else np.inf
+                if min(left, right) == np.inf:
                     break
-                at = lo - 1 if left <= right else hi + 1
-                a, b = min(lo, at), max(hi, at)
-                n = b - a + 1
-                if (m[b] - m[a]) / m[a] * 1e6 > width_ppm:
+                a, b = (lo - 1, hi) if left <= right else (lo, hi + 1)
+                step = m[lo] - m[a] if a < lo else m[b] - m[hi]
+                if max(step / near_ppm, (m[b] - m[a]) / width_ppm) / centre * 1e6 > 1:
                     break
                 if std_ppm is not None:
-                    mean = (s1 + m[at]) / n
-                    if np.sqrt(max((s2 + m[at] ** 2) / n - mean**2, 0)) / mean * 1e6 > std_ppm:
+                    n, one, two = sums[:, b + 1] - sums[:, a]
+                    mean = one / n
+                    if np.sqrt(max(two / n - mean * mean, 0)) / (mean + m[0]) * 1e6 > std_ppm:
                         break
-                s1, s2, lo, hi = s1 + m[at], s2 + m[at] ** 2, a, b
+                    centre = mean + m[0]
+                lo, hi = a, b
             label[lo : hi + 1], free[lo : hi + 1] = number, False
             number += 1
         return pdf.assign(fine=label.astype("int32"))
@@ -146,13 +154,23 @@ def ppm_spread_ok(signals: DataFrame, keys: Sequence[str], most: float = 15.0) -
     return s.filter(F.col("rsd") * 1e6 <= most).select(*keys)
 
 
-def peak_form_ok(signals: DataFrame, keys: Sequence[str], least: float = 0.5) -> DataFrame:
-    """Clusters whose intensity over the scans correlates with a gaussian of a sixth of their range."""
-    s = signals.groupBy(*keys, "scan").agg(F.sum("spint").alias("y"))
-    r = s.groupBy(*keys).agg(F.min("scan").alias("_a"), F.max("scan").alias("_b"))
-    grid = r.withColumn("scan", F.explode(F.sequence("_a", "_b"))).join(s, [*keys, "scan"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    z = (F.col("scan") - (F.col("_a") + F.col("_b")) / 2) / F.nullif((F.col("_b") - F.col("_a")) / 6, F.lit(0.0))
-    return grid.withColumn("g", F.exp(-z * z / 2)).groupBy(*keys).agg(metrics.correlation("y", "g").alias("c")).filter(F.col("c") >= least).select(*keys)
+def peak_form_ok(signals: DataFrame, keys: Sequence[str], least: float = 0.5, run: Sequence[str] = ("sample",), at: str = "scan", scans: DataFrame | None = None) -> DataFrame:
+    """Clusters whose intensity over the scans of their run correlates with a gaussian of a sixth of the run.
+
+    ``run`` names the runs, among ``keys``; ``scans`` has all scans (run, ``at``), if
+    signals don't. A scan without a signal counts as 0, but isn't made: sums over the
+    run and sums over the cluster's own scans give the correlation.
+    """
+    own = (signals if scans is None else scans).select(*run, at).distinct()
+    middle = own.groupBy(*run).agg(F.avg(at).alias("_m"), ((F.max(at) - F.min(at)) / 6).alias("_s"))
+    z = (F.col(at) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    shape = own.join(middle, list(run)).withColumn("_g", F.exp(-z * z / 2))
+    total = shape.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), F.sum("_g").alias("_sg"), F.sum(F.col("_g") * F.col("_g")).alias("_sgg"))
+    y = signals.groupBy(*dict.fromkeys([*run, *keys]), at).agg(F.sum("spint").alias("_y")).join(middle, list(run)).withColumn("_g", F.exp(-z * z / 2))
+    c = y.groupBy(*dict.fromkeys([*run, *keys])).agg(F.sum("_y").alias("_sy"), F.sum(F.col("_y") * F.col("_y")).alias("_syy"), F.sum(F.col("_y") * F.col("_g")).alias("_sgy")).join(total, list(run))
+    spread = lambda xx, x: F.sqrt(F.greatest(F.col(xx) - F.col(x) * F.col(x) / F.col("_n"), F.lit(0.0)))
+    r = ratio(F.col("_sgy") - F.col("_sg") * F.col("_sy") / F.col("_n"), spread("_sgg", "_sg") * spread("_syy", "_sy"))
+    return c.filter(r >= least).select(*keys)
 
 
 def collapse(signals: DataFrame, keys: Sequence[str], how: str = "average") -> DataFrame:
@@ -207,24 +225,47 @@ def blank_test(matrix: DataFrame, blanks: Sequence[str], study: Sequence[str], f
     return s.withColumn("keep", keep)
 
 
+def subtract_blanks(matrix: DataFrame, blanks: Sequence[str], groups: Sequence[str], fold: float = 2.0, p_limit: float = 0.05, least: int = 2) -> DataFrame:
+    """Each feature in each group against the blanks: (feature, class, t, df, p, fold, keep).
+
+    Welch's one-sided test of detected values; against a single blank value, the
+    one-sample test. A group with fewer than ``least`` values isn't compared; a feature
+    that no blank holds is kept. A feature stays if any of its groups keeps it.
+    """
+    stats = lambda classes, n, *keys: matrix.filter(F.col("class").isin(list(classes))).groupBy("feature", *keys).agg(F.count("value").alias(f"n{n}"), F.avg("value").alias(f"mean{n}"), F.var_samp("value").alias(f"var{n}"))
+    s = metrics.welch(stats(groups, 1, "class").join(stats(blanks, 2), "feature", "left").withColumn("n2", F.coalesce("n2", F.lit(0))))
+    single = ratio(F.col("mean1") - F.col("mean2"), F.sqrt(ratio(F.col("var1"), F.col("n1").cast("double"))))
+    one, compared = F.col("n2") == 1, (F.col("n1") >= least) & (F.col("n2") > 0)
+    s = s.withColumn("t", F.when(compared, F.when(one, single).otherwise(F.col("t")))).withColumn("df", F.when(compared, F.when(one, (F.col("n1") - 1).cast("double")).otherwise(F.col("df"))))
+    s = s.withColumn("fold", F.when(compared, ratio(F.col("mean1"), F.col("mean2")))).withColumn("p", student_p(F.col("t"), F.col("df")))
+    # (blanks that are all 0 are exceeded by any fold)
+    high = F.coalesce(F.col("fold") >= fold, F.col("mean2") == 0)
+    keep = (F.col("n1") >= least) & ((F.col("n2") == 0) | F.coalesce((F.col("p") <= p_limit) & high, F.lit(False)))
+    return s.select("feature", "class", "t", "df", "p", "fold", keep.alias("keep"))
+
+
 def student_p(t: Column, df: Column) -> Column:
-    """One-sided tail of Student's distribution; NULL where t or df is."""
+    """One-sided tail of Student's distribution, of the normal one for infinite df; NULL where t or df is."""
 
     @F.pandas_udf("double")
     def tail(ts: pd.Series, ds: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else kernels.student_tail(float(a), float(b)) for a, b in zip(ts, ds)], dtype="float64")
+        return pd.Series(kernels.student_tail(ts.to_numpy(float), ds.to_numpy(float)))
 
-    return tail(t, df)
+    p = tail(t, df)
+    return F.when(~F.isnan(p), p)
 
 
-def sister_ions(features: DataFrame, shifts: DataFrame, max_ppm: float, key: str = "feature", mz: str = "mz") -> DataFrame:
-    """For each feature and mass difference (ion, shift) the nearest other feature at the sum, within max_ppm."""
-    t = features.select(F.col(key).alias("parent"), F.col(mz).alias("_m")).crossJoin(F.broadcast(shifts.select("ion", "shift"))).withColumn("_q", F.col("_m") + F.col("shift"))
+def sister_ions(features: DataFrame, shifts: DataFrame, max_ppm: float, key: str = "feature", mz: str = "mz", by: Sequence[str] = ()) -> DataFrame:
+    """For each feature and mass difference (ion, shift) the nearest other feature (of the same ``by``) at the sum, within max_ppm.
+
+    ``shifts`` is a list of known ions, which is broadcast where its size is checked to be small.
+    """
+    t = features.select(*by, F.col(key).alias("parent"), F.col(mz).alias("_m")).crossJoin(small(shifts.select("ion", "shift"), 10_000)).withColumn("_q", F.col("_m") + F.col("shift"))
     cell = 0.1
     width = F.col("_q") * max_ppm / 1e6
     t = t.withColumn("_c", F.explode(F.sequence(F.floor((F.col("_q") - width) / cell), F.floor((F.col("_q") + width) / cell))))
-    f = features.select(F.col(key).alias("child"), F.col(mz).alias("_cm")).withColumn("_c", F.floor(F.col("_cm") / cell))
-    j = t.join(f, "_c").filter((F.abs(F.col("_cm") - F.col("_q")) <= F.col("_q") * max_ppm / 1e6) & (F.col("parent") != F.col("child")))
+    f = features.select(*by, F.col(key).alias("child"), F.col(mz).alias("_cm")).withColumn("_c", F.floor(F.col("_cm") / cell))
+    j = t.join(f, [*by, "_c"]).filter((F.abs(F.col("_cm") - F.col("_q")) <= F.col("_q") * max_ppm / 1e6) & (F.col("parent") != F.col("child")))
     best = j.groupBy("parent", "ion").agg(F.min(F.struct(F.abs(F.col("_cm") - F.col("_q")).alias("d"), "child", "_q")).alias("b"))
     return best.select("parent", "ion", F.col("b.child").alias("child"), (F.col("b.d") / F.col("b._q") * 1e6).alias("ppm"))
 
@@ -260,23 +301,30 @@ def most_abundant_features(matrix: DataFrame, n: int) -> DataFrame:
     return matrix.groupBy("feature").agg(F.avg("value").alias("mean")).filter("mean is not null").orderBy(F.desc("mean"), "feature").limit(n)
 
 
-def volcano(matrix: DataFrame, a: Sequence[str], b: Sequence[str], alpha: float = 0.05, min_fold: float = 2.0, found: float = 0.75, by: Sequence[str] = ()) -> DataFrame:
-    """Differential test of two groups, missing as 0: fold, Welch's t and p, rank sum z and p, Cohen's d, verdict.
+def volcano(matrix: DataFrame, a: Sequence[str], b: Sequence[str], alpha: float = 0.05, min_fold: float = 2.0, found: float = 0.75, not_found: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
+    """Differential test of two groups, missing as 0: fold, Welch's t and p, rank sum z and its p, Cohen's d, verdict.
 
-    A feature is tested if enough samples of either group detect it.
+    A feature is tested if enough samples of both groups hold it (above 0), or enough
+    of one and few of the other.
     """
     s = metrics.cohen_d(metrics.welch(metrics.two_groups(matrix, a, b, zero_missing=True, by=by)))
     m = matrix.filter(F.col("class").isin([*a, *b])).withColumn("_v", F.coalesce("value", F.lit(0.0)))
     m = m.withColumn("_rank", metrics.mean_rank("_v", [*by, "feature"]))
-    w = m.groupBy(*by, "feature").agg(F.sum(F.when(F.col("class").isin(list(a)), F.col("_rank"))).alias("rank_sum"))
+    in_a = F.col("class").isin(list(a))
+    w = m.groupBy(*by, "feature").agg(F.sum(F.when(in_a, F.col("_rank"))).alias("rank_sum"), F.count_if(in_a & (F.col("_v") != 0)).alias("_h1"), F.count_if(~in_a & (F.col("_v") != 0)).alias("_h2"))
     s = s.join(w, [*by, "feature"])
     fold = F.when((F.col("mean2") == 0) & (F.col("mean1") > 0), F.lit(float("inf"))).otherwise(ratio(F.col("mean1"), F.col("mean2")))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     z = ratio(F.col("rank_sum") - n1 * (n1 + n2 + 1) / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
-    s = s.withColumn("fold", fold).withColumn("z", z).withColumn("p", F.least(2 * student_p(F.abs("t"), F.col("df")), F.lit(1.0)))
-    tested = (ratio(F.col("found1"), F.col("all1").cast("double")) >= found) | (ratio(F.col("found2"), F.col("all2").cast("double")) >= found)
+    two = lambda t, df: F.least(2 * student_p(F.abs(t), df), F.lit(1.0))
+    s = s.withColumn("fold", fold).withColumn("z", z)
+    s = s.withColumn("p", F.when(F.col("t").isNotNull(), two(F.col("t"), F.col("df")))).withColumn("p_ranks", F.when(F.col("z").isNotNull(), two(F.col("z"), F.lit(float("inf")))))
+    x, y = ratio(F.col("_h1").cast("double"), n1), ratio(F.col("_h2").cast("double"), n2)
+    tested = F.greatest(x, y) >= found
+    tested = tested & ((F.least(x, y) >= found) | (F.least(x, y) <= not_found)) & x.isNotNull() & y.isNotNull()
     big = (F.col("fold") >= min_fold) | (F.col("fold") <= 1 / min_fold)
-    return s.withColumn("tested", F.coalesce(tested, F.lit(False))).withColumn("significant", F.coalesce(F.col("tested") & (F.col("p") <= alpha) & big, F.lit(False)))
+    s = s.withColumn("tested", F.coalesce(tested, F.lit(False))).drop("_h1", "_h2")
+    return s.withColumn("significant", F.coalesce(F.col("tested") & (F.col("p") <= alpha) & big, F.lit(False)))
 
 
 def annotate_compounds(features: DataFrame, compounds: DataFrame, max_ppm: float = 15.0) -> DataFrame:

@@ -60,7 +60,8 @@ def detection_rate(matrix: DataFrame, by: Sequence[str] = ("class",), threshold:
 def ols(matrix: DataFrame, field: str) -> DataFrame:
     """Linear fit of each feature on a field: slope, intercept, r2, Durbin-Watson and Jarque-Bera p.
 
-    Residuals are taken in the order of the field, then of the sample.
+    Residuals are taken in the order of the field, then of the sample. Those of a perfect
+    fit are rounding errors: it has no Jarque-Bera value.
     """
     m = matrix.filter(F.col("value").isNotNull() & F.col(field).isNotNull()).withColumn("_x", F.col(field).cast("double"))
     fit = m.groupBy("feature").agg(F.regr_slope("value", "_x").alias("slope"), F.regr_intercept("value", "_x").alias("intercept"), F.regr_r2("value", "_x").alias("r2"), F.count(F.lit(1)).alias("n"))
@@ -70,6 +71,7 @@ def ols(matrix: DataFrame, field: str) -> DataFrame:
     skew = ratio(F.col("_m3"), F.pow("_m2", F.lit(1.5)))
     kurt = ratio(F.col("_m4"), F.col("_m2") * F.col("_m2"))
     jb = F.col("n") / 6.0 * (skew * skew + (kurt - 3.0) * (kurt - 3.0) / 4.0)
+    jb = F.when(F.col("r2") <= 1 - 1e-12, jb)
     return fit.join(t, "feature").select("feature", "n", "slope", "intercept", "r2", "dw", jb.alias("jb"), F.exp(-jb / 2.0).alias("jb_p"))
 
 

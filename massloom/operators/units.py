@@ -208,7 +208,8 @@ def trace_units(readings: DataFrame, trace: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.min("scan").alias("_s0"), F.max("scan").alias("_s1"), F.avg("time").alias("_mt"), F.avg("_scan").alias("_ms"))
         .select("*", (F.col("n") * F.col("_mt")).alias("_t"), (F.col("n") * F.col("_ms")).alias("_s"), unit_of_spelling(F.col("_spelled")).alias("_declared"))
     )
-    g = g.groupBy("trace_id", "_declared", "_dec").agg(*sums)
+    # written, so that the readings are scanned once
+    g = cut(g.groupBy("trace_id", "_declared", "_dec").agg(*sums))
     about = trace.groupBy("trace_id").agg(F.max("grid_seconds").alias("_grid"), F.max(unit_of_text(F.col("note"))).alias("_note"))
     lead = g.groupBy("trace_id").agg(F.max(F.struct("n", "_dec", "_t0", "_t1", "_s0", "_s1")).alias("_lead"))
     # (a trace has a few classes, so that all this is small)

@@ -86,7 +86,8 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql is not None:
             text = sql.strip()
-            SQL[name] = f"WITH {BASE},\n{text[4:].strip()}" if text.upper().startswith("WITH") else f"WITH {BASE}\n{text}"
+            head = "WITH RECURSIVE" if text.startswith("WITH RECURSIVE") else "WITH"
+            SQL[name] = f"{head} {BASE},\n{text[len(head):].strip()}" if text.upper().startswith("WITH") else f"WITH {BASE}\n{text}"
         return f
 
     return add
@@ -368,10 +369,19 @@ def mat_codetection(spark, d):
     return matrix.codetection(long_matrix(spark, d), pairs).select("a", "b", "both", "any")
 
 
-@query("mat_merge_close")
+@query(
+    "mat_merge_close",
+    """WITH RECURSIVE p AS (SELECT x.feature_id AS a, y.feature_id AS b FROM f x JOIN f y ON x.study = y.study AND x.feature_id < y.feature_id AND abs(x.mz - y.mz) < 0.02 AND abs(x.rt - y.rt) < 10),
+       e AS (SELECT sample, feature FROM m WHERE value IS NOT NULL), n AS (SELECT feature, count(*) AS k FROM e GROUP BY 1), d AS (SELECT a, b, count(*) AS k FROM p JOIN e ON e.feature = a JOIN e h ON h.feature = b AND h.sample = e.sample GROUP BY 1, 2),
+       o AS (SELECT p.a, p.b, coalesce(d.k, 0) AS n_both, coalesce(na.k, 0) + coalesce(nb.k, 0) - coalesce(d.k, 0) AS any_of FROM p LEFT JOIN d ON d.a = p.a AND d.b = p.b LEFT JOIN n na ON na.feature = p.a LEFT JOIN n nb ON nb.feature = p.b),
+       l AS (SELECT a, b FROM o WHERE any_of > 0 AND n_both < 0.8 * any_of UNION SELECT b, a FROM o WHERE any_of > 0 AND n_both < 0.8 * any_of),
+       r(k, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.k), gr AS (SELECT k AS feature, min(root) AS component FROM r GROUP BY 1),
+       i AS (SELECT component, arg_max(gr.feature, {'n': coalesce(n.k, 0), 'f': -gr.feature}) AS target FROM gr LEFT JOIN n ON n.feature = gr.feature WHERE gr.feature IN (SELECT feature FROM m) GROUP BY 1)
+       SELECT sample, coalesce(target, m.feature) AS feature, round(sum(value), 4) AS value FROM m LEFT JOIN gr ON gr.feature = m.feature LEFT JOIN i ON i.component = gr.component GROUP BY 1, 2""",
+)
 def mat_merge_close(spark, d):
     pairs = matrix.range_pairs(points(spark, d), "feature_id", "mz", "rt", 0.02, 10.0, ["study"])
-    return matrix.merge_close(long_matrix(spark, d), pairs)
+    return matrix.merge_close(long_matrix(spark, d), pairs).select("sample", "feature", r4("value", 4).alias("value"))
 
 
 @query("mat_select_features", "SELECT feature_id, mz, rt FROM f WHERE abs(mz - 145.4306) < 0.05 AND abs(rt - 300.0) < 300")
@@ -466,9 +476,14 @@ def met_dratio(spark, d):
     return x.select("feature", F.when(F.col("dratio") < float("inf"), r4("dratio", 6)).alias("dratio"))
 
 
-@query("met_dratio_robust")
+@query(
+    "met_dratio_robust",
+    f"""WITH k AS (SELECT feature, CASE WHEN class = 'qc' THEN 'qc' ELSE 'sample' END AS kind, value FROM m WHERE class = 'qc' OR class IN {_STUDY}), a AS (SELECT kind, feature, median(value) AS md, count(value) AS n FROM k GROUP BY 1, 2),
+       b AS (SELECT k.kind, k.feature, CASE WHEN any_value(n) > 1 THEN median(abs(value - md)) / 0.6744897501960817 END AS mad FROM k JOIN a ON a.feature = k.feature AND a.kind = k.kind GROUP BY 1, 2)
+       SELECT feature, coalesce(round(max(mad) FILTER (kind = 'qc') / nullif(max(mad) FILTER (kind = 'sample'), 0), 5), {INF}) AS dratio FROM b GROUP BY 1""",
+)
 def met_dratio_robust(spark, d):
-    return metrics.dratio(long_matrix(spark, d), QC, STUDY, robust=True)
+    return metrics.dratio(long_matrix(spark, d), QC, STUDY, robust=True).withColumn("dratio", r4("dratio", 5))
 
 
 @query("met_detection_rate", "SELECT class, feature, round(count(*) FILTER (value > 0) / count(*), 6) AS dr FROM m GROUP BY 1, 2")
@@ -489,9 +504,22 @@ def met_ols(spark, d):
     return o.select("feature", "n", F.when(F.col("n") > 2, r4("r2", 4)).alias("r2"), F.when((F.col("n") > 2) & (F.col("r2") < 0.9999), r4("dw", 3)).alias("dw"))
 
 
-@query("met_jarque_bera")
+def _ols_sql(name: str, source: str) -> str:
+    """Moments of the residuals of a linear fit of value on x."""
+    return f"""{name}_l AS (SELECT feature, regr_slope(value, x) AS k, regr_intercept(value, x) AS b, regr_r2(value, x) AS r2, count(*) AS n FROM {source} GROUP BY 1),
+       {name}_e AS (SELECT v.feature, avg(pow(value - b - k * x, 2)) AS m2, avg(pow(value - b - k * x, 3)) AS m3, avg(pow(value - b - k * x, 4)) AS m4 FROM {source} v JOIN {name}_l l ON l.feature = v.feature GROUP BY 1),
+       {name} AS (SELECT l.feature, n, k, r2, n / 6.0 * (pow(m3 / nullif(pow(m2, 1.5), 0), 2) + pow(m4 / nullif(m2 * m2, 0) - 3, 2) / 4) AS jb FROM {name}_l l JOIN {name}_e e ON e.feature = l.feature)"""
+
+
+@query(
+    "met_jarque_bera",
+    f"""WITH v AS (SELECT feature, value, CAST(ord AS DOUBLE) AS x FROM m WHERE value IS NOT NULL AND ord IS NOT NULL), {_ols_sql("t", "v")}
+       SELECT feature, n, CASE WHEN n > 2 AND r2 < 0.9999 THEN round(jb, 3) END AS jb, CASE WHEN n > 2 AND r2 < 0.9999 THEN round(exp(-jb / 2), 4) END AS jb_p FROM t""",
+)
 def met_jarque_bera(spark, d):
-    return metrics.ols(long_matrix(spark, d), "ord").select("feature", "n", "jb", "jb_p")
+    # the residuals of a perfect fit are rounding errors
+    o, imperfect = metrics.ols(long_matrix(spark, d), "ord"), (F.col("n") > 2) & (F.col("r2") < 0.9999)
+    return o.select("feature", "n", F.when(imperfect, r4("jb", 3)).alias("jb"), F.when(imperfect, r4("jb_p", 4)).alias("jb_p"))
 
 
 @query("met_pearson", "SELECT feature, CASE WHEN stddev_pop(value) > 0 AND count(*) > 2 THEN round(corr(value, CAST(ord AS DOUBLE)), 5) END AS r FROM m WHERE value IS NOT NULL AND ord IS NOT NULL GROUP BY 1")
@@ -599,9 +627,14 @@ for _mode, _lvl in (("mean", "avg(value)"), ("lod", "avg(value) + 3 * coalesce(s
         return curation.correct_blanks(long_matrix(spark, d), BLANK, mode=mode, robust=False).select("sample", "feature", r4("value", 4).alias("value"))
 
 
-@query("cur_blank_robust")
+@query(
+    "cur_blank_robust",
+    """WITH k AS (SELECT feature, median(value) AS md, count(value) AS n FROM m WHERE class = 'blank' GROUP BY 1),
+       b AS (SELECT k.feature, any_value(md) + 3 * coalesce(CASE WHEN any_value(n) > 1 THEN median(abs(value - md)) / 0.6744897501960817 END, 0) AS z FROM m JOIN k ON k.feature = m.feature WHERE class = 'blank' GROUP BY 1)
+       SELECT sample, m.feature, CASE WHEN value < coalesce(z, 0) THEN 0.0 ELSE round(value - coalesce(z, 0), 4) END AS value FROM m LEFT JOIN b ON b.feature = m.feature""",
+)
 def cur_blank_robust(spark, d):
-    return curation.correct_blanks(long_matrix(spark, d), BLANK, mode="lod", robust=True).select("sample", "feature", "value")
+    return curation.correct_blanks(long_matrix(spark, d), BLANK, mode="lod", robust=True).select("sample", "feature", r4("value", 4).alias("value"))
 
 
 @query("cur_class_remover", "SELECT class, count(*) AS n FROM m WHERE class IS NULL OR class NOT IN ('qc', 'blank') GROUP BY 1")
@@ -634,15 +667,28 @@ def cur_dilution(spark, d):
     return curation.dilution_filter(long_matrix(spark, d), DILUTION, 0.8, mode="pearson")
 
 
-@query("cur_dilution_ols")
+@query(
+    "cur_dilution_ols",
+    f"""WITH v AS (SELECT feature, value, dilution AS x FROM m WHERE class = 'dilution qc' AND value IS NOT NULL AND dilution IS NOT NULL), {_ols_sql("t", "v")}
+       SELECT DISTINCT feature FROM m WHERE class = 'dilution qc' AND feature NOT IN (SELECT feature FROM t WHERE r2 >= 0.8 AND (r2 > 1 - 1e-12 AND abs(k) > 1e-12 OR r2 <= 1 - 1e-12 AND exp(-jb / 2) >= 0.1))""",
+)
 def cur_dilution_ols(spark, d):
     return curation.dilution_filter(long_matrix(spark, d), DILUTION)
 
 
-@query("cur_pipeline")
+@query(
+    "cur_pipeline",
+    f"""WITH b AS (SELECT feature, avg(value) + 3 * coalesce(stddev_samp(value), 0) AS z FROM m WHERE class = 'blank' GROUP BY 1),
+       m1 AS (SELECT sample, m.feature, class, CASE WHEN value - coalesce(z, 0) < 0 THEN 0.0 ELSE value - coalesce(z, 0) END AS value FROM m LEFT JOIN b ON b.feature = m.feature),
+       p AS (SELECT feature FROM (SELECT feature, class, count(*) FILTER (value > 0) / count(*) AS dr FROM m1 WHERE class IN {_STUDY} GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(dr < 0.5 OR dr > 1)),
+       m2 AS (SELECT * FROM m1 WHERE feature NOT IN (SELECT feature FROM p)),
+       v AS (SELECT feature FROM m2 WHERE class = 'qc' GROUP BY 1 HAVING coalesce(stddev_samp(value) / nullif(avg(value), 0), {INF}) > 0.4 OR stddev_samp(value) / nullif(avg(value), 0) < 0),
+       m3 AS (SELECT * FROM m2 WHERE feature NOT IN (SELECT feature FROM v)), t AS (SELECT sample, sum(value) AS z FROM m3 GROUP BY 1)
+       SELECT m3.sample, feature, class, coalesce(round(value / nullif(z, 0), 7), 0) AS value FROM m3 JOIN t ON t.sample = m3.sample""",
+)
 def cur_pipeline(spark, d):
     steps = [{"name": "correct_blanks", "blanks": BLANK, "robust": False}, {"name": "prevalence", "classes": STUDY, "low": 0.5}, {"name": "variation", "classes": QC, "high": 0.4}, {"name": "normalize", "method": "sum"}]
-    return curation.build_pipeline(steps)(long_matrix(spark, d)).select("sample", "feature", "class", "value")
+    return curation.build_pipeline(steps)(long_matrix(spark, d)).select("sample", "feature", "class", r4("value", 7).alias("value"))
 
 
 # ---------------------------------------------------------------- batches

@@ -112,11 +112,26 @@ def dart_ppm_check(spark, d):
     return dart.ppm_spread_ok(spectra(spark, d).withColumn("cell", F.floor("mz")), ["cell"], 100.0)
 
 
-@query("dart_peak_form")
+@query(
+    "dart_peak_form",
+    """WITH o AS (SELECT DISTINCT sample, scan FROM g), w AS (SELECT sample, avg(scan) AS a, (max(scan) - min(scan)) / 6.0 AS s FROM o GROUP BY 1),
+       h AS (SELECT o.sample, scan, exp(-pow((scan - a) / nullif(s, 0), 2) / 2) AS z FROM o JOIN w ON w.sample = o.sample), y AS (SELECT sample, trace_id, scan, sum(spint) AS y FROM g GROUP BY 1, 2, 3),
+       k AS (SELECT DISTINCT sample, trace_id FROM g), cc AS (SELECT k.trace_id, corr(coalesce(y.y, 0), z) AS c FROM k JOIN h ON h.sample = k.sample LEFT JOIN y ON y.sample = k.sample AND y.trace_id = k.trace_id AND y.scan = h.scan GROUP BY k.sample, k.trace_id)
+       SELECT trace_id FROM cc WHERE isfinite(c) AND c >= 0.3""",
+)
 def dart_peak_form(spark, d):
     return dart.peak_form_ok(signals(spark, d), ["trace_id"], 0.3)
 
 
+def _tail_sql(t: str, df: str | None) -> str:
+    """P(T > |t|) of Student's distribution, of the normal one without df, by Simpson's rule."""
+    weight = "CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    if df is None:
+        return f"(0.5 - abs({t}) / 1200 / sqrt(2 * pi()) * list_sum([{weight} * exp(-pow({t} * i / 400.0, 2) / 2) for i in range(0, 401)]))"
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    return f"(0.5 - exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {angle} / 1200 * list_sum([{weight} * pow(cos({angle} * i / 400.0), {df} - 1) for i in range(0, 401)]))"
+
+
 @query("dart_bracket")
 def dart_bracket(spark, d):
     return dart.bracket(spectra(spark, d))
@@ -141,9 +156,17 @@ def dart_blank_statistics(spark, d):
     return dart.blank_test(long_matrix(spark, d), BLANK, STUDY).select("feature", "n1", "n2", r4("fold", 3).alias("fold"), r4("t", 3).alias("t"))
 
 
-@query("dart_blank_subtraction")
+@query(
+    "dart_blank_subtraction",
+    f"""WITH x AS (SELECT feature, class, count(value) AS n1, avg(value) AS m1, var_samp(value) / count(value) AS q1 FROM m WHERE class IN {catalog._STUDY} GROUP BY 1, 2), y AS (SELECT feature, count(value) AS n2, avg(value) AS m2, var_samp(value) / nullif(count(value), 0) AS q2 FROM m WHERE class = 'blank' GROUP BY 1),
+       j AS (SELECT x.feature, class, n1, m1, q1, coalesce(n2, 0) AS n2, m2, q2, n1 >= 2 AND coalesce(n2, 0) > 0 AS ok FROM x LEFT JOIN y ON y.feature = x.feature),
+       t AS (SELECT *, CASE WHEN ok THEN (m1 - m2) / nullif(sqrt(CASE WHEN n2 = 1 THEN q1 ELSE q1 + q2 END), 0) END AS t, CASE WHEN NOT ok THEN NULL WHEN n2 = 1 THEN n1 - 1 ELSE pow(q1 + q2, 2) / nullif(q1 * q1 / nullif(n1 - 1, 0) + q2 * q2 / nullif(n2 - 1, 0), 0) END AS df, CASE WHEN ok THEN m1 / nullif(m2, 0) END AS fold FROM j),
+       p AS (SELECT *, CASE WHEN t > 0 THEN {_tail_sql("t", "df")} ELSE 1 - {_tail_sql("t", "df")} END AS p FROM t)
+       SELECT feature, class, round(t, 4) AS t, round(df, 4) AS df, round(p, 4) AS p, round(fold + 1e-9, 4) AS fold, n1 >= 2 AND (n2 = 0 OR coalesce(p <= 0.05 AND coalesce(fold >= 2, m2 = 0), false)) AS keep FROM p""",
+)
 def dart_blank_subtraction(spark, d):
-    return dart.blank_test(long_matrix(spark, d), BLANK, STUDY).select("feature", "t", "df", "p", "fold", "keep")
+    s = dart.subtract_blanks(long_matrix(spark, d), BLANK, STUDY)
+    return s.select("feature", "class", *[r4(c).alias(c) for c in ("t", "df", "p")], r4(F.col("fold") + 1e-9).alias("fold"), "keep")
 
 
 @query(
@@ -157,11 +180,19 @@ def dart_sister_ions(spark, d):
     return dart.sister_ions(points(spark, d).withColumnRenamed("feature_id", "feature"), shifts, 20.0).select("parent", "ion", "child")
 
 
-@query("dart_sister_ratios")
+@query(
+    "dart_sister_ratios",
+    """WITH h AS (SELECT * FROM (VALUES ('Na', 21.981944), ('NH4', 17.026549), ('13C1', 1.003355), ('13C2', 2.00671), ('CH3OH', 32.026215)) AS v(ion, shift)), u AS (SELECT study, feature_id, mz FROM f),
+       p AS (SELECT x.feature_id AS parent, h.ion, y.feature_id AS child, abs(y.mz - (x.mz + CAST(shift AS DOUBLE))) AS e FROM u x CROSS JOIN h JOIN u y ON x.study = y.study AND abs(y.mz - (x.mz + CAST(shift AS DOUBLE))) <= (x.mz + CAST(shift AS DOUBLE)) * 2000 / 1e6 AND y.feature_id <> x.feature_id),
+       b AS (SELECT parent, ion, arg_min(child, {'e': e, 'c': child}) AS child FROM p GROUP BY 1, 2),
+       r AS (SELECT parent, ion, child, c.value / nullif(a.value, 0) * 100 AS r FROM b JOIN m a ON a.feature = parent JOIN m c ON c.feature = child AND c.sample = a.sample)
+       SELECT parent, ion, child, count(r) AS n, round(avg(r), 3) AS mean, round(stddev_pop(r), 3) AS std, count(r) > 5 AND avg(r) > 2 AND avg(r) < 200 AND stddev_pop(r) < 50 AS sister FROM r GROUP BY 1, 2, 3""",
+)
 def dart_sister_ratios(spark, d):
     shifts = spark.createDataFrame(SHIFTS, "ion string, shift double")
-    pairs = dart.sister_ions(points(spark, d).withColumnRenamed("feature_id", "feature"), shifts, 20.0)
-    return dart.sister_ratios(long_matrix(spark, d), pairs, 5)
+    # features of one study share samples; the tables hold no true adducts, so the tolerance is wide
+    pairs = dart.sister_ions(points(spark, d).withColumnRenamed("feature_id", "feature"), shifts, 2000.0, by=["study"])
+    return dart.sister_ratios(long_matrix(spark, d), pairs, 5).select("parent", "ion", "child", "n", r4("mean", 3).alias("mean"), r4("std", 3).alias("std"), "sister")
 
 
 @query("dart_replicates", f"WITH a AS (SELECT feature, class, count(value) / count(*) >= 0.98 AS o FROM m WHERE class IN {catalog._STUDY} GROUP BY 1, 2) SELECT feature FROM a GROUP BY 1 HAVING bool_and(o)")
@@ -192,9 +223,21 @@ def dart_volcano_statistics(spark, d):
     return dart.volcano(long_matrix(spark, d), QC, BLANK).select("feature", "n1", "n2", r4(F.col("mean1") - F.col("mean2"), 3).alias("diff"), r4("t", 3).alias("t"), F.col("rank_sum").cast("double").alias("rank_sum"))
 
 
-@query("dart_volcano")
+@query(
+    "dart_volcano",
+    f"""WITH v AS (SELECT feature, class = 'healthy' AS a, coalesce(value, 0) AS v FROM m WHERE class IN ('healthy', 'disease')), k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM v),
+       g2 AS (SELECT feature, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, avg(v) FILTER (a) AS m1, avg(v) FILTER (NOT a) AS m2, var_samp(v) FILTER (a) AS v1, var_samp(v) FILTER (NOT a) AS v2, sum(r) FILTER (a) AS w,
+              count(*) FILTER (a AND v <> 0) AS h1, count(*) FILTER (NOT a AND v <> 0) AS h2 FROM k GROUP BY 1),
+       q2 AS (SELECT *, v1 / nullif(n1, 0) AS q1, v2 / nullif(n2, 0) AS q2, h1 / nullif(n1, 0) AS x, h2 / nullif(n2, 0) AS y FROM g2),
+       t AS (SELECT *, (m1 - m2) / nullif(sqrt(q1 + q2), 0) AS t, pow(q1 + q2, 2) / nullif(q1 * q1 / nullif(n1 - 1, 0) + q2 * q2 / nullif(n2 - 1, 0), 0) AS df, (w - n1 * (n1 + n2 + 1) / 2.0) / nullif(sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 0) AS z,
+              CASE WHEN m2 = 0 AND m1 > 0 THEN {catalog.INF} ELSE m1 / nullif(m2, 0) END AS fold, (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / nullif(n1 + n2 - 2, 0)), 0) AS cohen_d,
+              coalesce(greatest(x, y) >= 0.75 AND (least(x, y) >= 0.75 OR least(x, y) <= 0.25) AND x IS NOT NULL AND y IS NOT NULL, false) AS tested FROM q2),
+       p AS (SELECT *, CASE WHEN t IS NOT NULL THEN least(2 * {_tail_sql("t", "df")}, 1) END AS p, CASE WHEN z IS NOT NULL THEN least(2 * {_tail_sql("z", None)}, 1) END AS p_ranks FROM t)
+       SELECT feature, round(fold, 4) AS fold, round(t, 4) AS t, round(df, 4) AS df, round(p, 4) AS p, round(z, 4) AS z, round(p_ranks, 4) AS p_ranks, round(cohen_d, 4) AS cohen_d, tested, coalesce(tested AND p <= 0.05 AND (fold >= 2 OR fold <= 0.5), false) AS significant FROM p""",
+)
 def dart_volcano(spark, d):
-    return dart.volcano(long_matrix(spark, d), ["healthy"], ["disease"]).select("feature", "fold", "t", "df", "p", "z", "cohen_d", "tested", "significant")
+    v = dart.volcano(long_matrix(spark, d), ["healthy"], ["disease"])
+    return v.select("feature", *[r4(c).alias(c) for c in ("fold", "t", "df", "p", "z", "p_ranks", "cohen_d")], "tested", "significant")
 
 
 @query(
@@ -239,7 +282,13 @@ def cor_unique_assignment(spark, d):
     return correspondence.unique_nearest(_labelled(spark, d)).select("feature_id", "label")
 
 
-@query("cor_dbscan")
+@query(
+    "cor_dbscan",
+    """WITH RECURSIVE nb AS (SELECT x.feature_id AS a, y.feature_id AS b FROM f x JOIN f y ON abs(x.mz - y.mz) <= 0.02 AND abs(x.rt - y.rt) <= 15), core AS (SELECT a FROM nb GROUP BY 1 HAVING count(*) >= 3),
+       e AS (SELECT nb.a, nb.b FROM nb JOIN core c ON c.a = nb.a JOIN core k ON k.a = nb.b), r(k, root) AS (SELECT a, a FROM core UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k),
+       l AS (SELECT k, min(root) AS cluster FROM r GROUP BY 1), o AS (SELECT nb.a AS k, min(l.cluster) AS cluster FROM nb JOIN l ON l.k = nb.b WHERE nb.a NOT IN (SELECT a FROM core) GROUP BY 1)
+       SELECT feature_id, coalesce(l.cluster, o.cluster, -1) AS cluster FROM f LEFT JOIN l ON l.k = feature_id LEFT JOIN o ON o.k = feature_id""",
+)
 def cor_dbscan(spark, d):
     return correspondence.dbscan(points(spark, d), "feature_id", "mz", "rt", 0.02, 15.0, 3)
 
@@ -270,7 +319,15 @@ def fill_integration(spark, d):
 # ---------------------------------------------------------------- annotation and chemistry
 
 
-@query("ann_consensus_vote")
+@query(
+    "ann_consensus_vote",
+    """WITH RECURSIVE e AS (SELECT sample, feature AS cluster, CAST(floor(mz) AS INTEGER) AS l, CAST(dense_rank() OVER (PARTITION BY sample, CAST(floor(mz) AS INTEGER) ORDER BY mz) - 1 AS INTEGER) AS i FROM sp),
+       k AS (SELECT cluster, i, count(*) AS n FROM e GROUP BY 1, 2), node AS (SELECT cluster, arg_max(i, {'n': n, 'i': -i}) AS i FROM k GROUP BY 1),
+       x AS (SELECT a.cluster AS a, b.cluster AS b, count(*) AS n FROM e a JOIN e b ON a.sample = b.sample AND a.l = b.l AND a.i = 0 AND b.i > 0 AND a.cluster <> b.cluster GROUP BY 1, 2),
+       y AS (SELECT x.a, x.b, x.n, row_number() OVER (PARTITION BY x.a, node.i ORDER BY x.n DESC, x.b) AS r FROM x JOIN node ON node.cluster = x.b), z AS (SELECT a, b, n FROM y WHERE r = 1), u AS (SELECT a, b FROM z UNION SELECT b, a FROM z),
+       walk(k, root) AS (SELECT a, a FROM u UNION SELECT u.b, walk.root FROM walk JOIN u ON u.a = walk.k), g2 AS (SELECT k AS cluster, min(root) AS envelope_label FROM walk GROUP BY 1), h AS (SELECT b AS cluster, max(n) AS n FROM z GROUP BY 1)
+       SELECT g2.cluster, envelope_label, node.i AS envelope_index, 1 AS charge, coalesce(h.n, 0) AS count FROM g2 JOIN node ON node.cluster = g2.cluster LEFT JOIN h ON h.cluster = g2.cluster""",
+)
 def ann_consensus_vote(spark, d):
     s = spectra(spark, d).select("sample", F.col("feature").alias("cluster"), "mz", F.col("spint").alias("area"))
     e = s.withColumn("envelope_label", F.floor("mz").cast("int")).withColumn("envelope_index", (F.dense_rank().over(_by_mass()) - 1).cast("int")).withColumn("charge", F.lit(1))
@@ -299,7 +356,18 @@ def ann_annotate(spark, d):
 FORMULAS = ["H2O", "CO2", "C6H12O6", "(13C)C5H12O6", "[C10H11O2]+", "C8H10N4O2", "[CO3]2-", "C24H46N(18O)2PS"]
 
 
-@query("chem_mass")
+#: fixed values: masses of the isotopes in FORMULAS, and of the electron
+_ISOTOPES = "('H', 1.00782503223), ('C', 12.0), ('N', 14.00307400443), ('O', 15.99491461957), ('P', 30.97376199842), ('S', 31.9720711744), ('(13C)', 13.00335483507), ('(18O)', 17.99915961286)"
+_WRITTEN = "('H2O', 'H2O'), ('CO2', 'CO2'), ('C6H12O6', 'C6H12O6'), ('(13C)C5H12O6', 'C5(13C)H12O6'), ('[C10H11O2]+', '[C10H11O2]+'), ('C8H10N4O2', 'C8H10N4O2'), ('[CO3]2-', '[CO3]2-'), ('C24H46N(18O)2PS', 'C24H46N(18O)2PS')"
+
+
+@query(
+    "chem_mass",
+    rf"""WITH w AS (SELECT * FROM (VALUES {_WRITTEN}) AS v(formula, canonical)), i AS (SELECT * FROM (VALUES {_ISOTOPES}) AS v(isotope, mass)), z AS (SELECT formula, regexp_extract(formula, '\]([0-9]*)([+-])$', 1) AS n, regexp_extract(formula, '\]([0-9]*)([+-])$', 2) AS side FROM w),
+       t AS (SELECT formula, unnest(regexp_extract_all(regexp_replace(formula, '\].*$', ''), '\([0-9]+[A-Z][a-z]?\)[0-9]*|[A-Z][a-z]?[0-9]*')) AS t FROM w), pc AS (SELECT formula, regexp_extract(t, '^(\(.*\)|[A-Z][a-z]?)', 1) AS isotope, coalesce(try_cast(regexp_extract(t, '([0-9]*)$', 1) AS INTEGER), 1) AS n FROM t),
+       s2 AS (SELECT formula, sum(pc.n * CAST(mass AS DOUBLE)) AS mass FROM pc JOIN i ON i.isotope = pc.isotope GROUP BY 1)
+       SELECT w.formula, canonical, round(mass - CASE side WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END * coalesce(try_cast(n AS INTEGER), 1) * 0.000548579909, 5) AS mass FROM w JOIN z ON z.formula = w.formula JOIN s2 ON s2.formula = w.formula""",
+)
 def chem_mass(spark, d):
     f = spark.createDataFrame([(x,) for x in FORMULAS], "formula string")
     return f.select("formula", chem.canonical_column(F.col("formula")).alias("canonical"), F.round(chem.mass_column(F.col("formula")), 5).alias("mass"))

@@ -137,3 +137,43 @@ def test_profile_sum():
     mz, y = kernels.profile_sum([m, m, m], [np.array([1.0, 5, 1])] * 2 + [np.array([1.0, 1, 3])], [1, 1, -1])
     assert list(mz) == [100, 101] and list(y) == [1, 9]
     assert len(kernels.profile_sum([], [], [])[0]) == 0
+
+
+@pytest.mark.parametrize("peaks,number", [([(100, 20)], 1), ([(50, 100), (150, 50)], 2), ([(100, 50), (108, 25)], 2)])
+@pytest.mark.parametrize("seed", range(3))
+def test_peaks_by_noise_and_baseline(peaks, number, seed):
+    x = np.arange(200.0)
+    e = np.random.default_rng(seed).normal(0, 0.3, 200)
+    y = sum(h * np.exp(-0.5 * ((x - c) / 2) ** 2) for c, h in peaks) + e
+    noise = kernels.noise_level(y)
+    s = kernels.gaussian_smooth(y, 1.0)
+    base, _ = kernels.baseline(s, np.abs(e))
+    got = [p for p in kernels.detect_peaks(s, noise, base) if s[p[1]] > 10]
+    assert len(got) == number and all(abs(a - c) <= 1 for (_, a, _), (c, _) in zip(got, peaks))
+    if len(peaks) == 2 and peaks[1][0] - peaks[0][0] < 10:
+        assert got[0][2] == got[1][0] + 1
+
+
+def test_noise_slices():
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.normal(0, 1, 400), rng.normal(0, 5, 450)])
+    noise = kernels.noise_level(y)
+    # slices of 200; the rest of 50 belongs to the fourth
+    assert len(set(noise)) == 4 and len(set(noise[600:])) == 1 and abs(noise[0] - 1) < 0.4 and abs(noise[-1] - 5) < 2
+    assert kernels.noise_level(np.zeros(3)).tolist() == [0, 0, 0] and len(kernels.noise_level(np.zeros(0))) == 0
+
+
+def test_baseline_points():
+    y = np.array([0, 1, 2, 1, 0, 1, 2, 1, 0, 1, 2, 1, 0], float)
+    # only the slices from 4 to 6 have quiet neighbours on both sides
+    noise = np.array([0.1, 0.1, 1, 1, 1, 1, 1, 1, 1, 0.1, 0.1, 0.1, 0.1])
+    assert kernels.baseline(y, noise)[1].tolist() == [0, 4, 5, 6, 12]
+    e = np.random.default_rng(1).normal(size=100)
+    base, _ = kernels.baseline(e, np.full(100, 5.0))
+    assert (np.abs(e - base) < 5).all()
+
+
+def test_tails_of_arrays():
+    t, df = np.array([1.5, -2.0, 1.96, np.nan, np.inf, 1.0]), np.array([3.2, 12.0, np.inf, 3.0, 4.0, 0.0])
+    got = kernels.student_tail(t, df)
+    assert np.allclose(got[:3], [0.11252226586992, 0.96567249298096, 0.0249978951482204], atol=1e-10) and got[4] == 0 and np.isnan(got[[3, 5]]).all()
