@@ -48,7 +48,7 @@ LANDMARKS = 32
 GRAMS = (1, 2, 3, 4)
 DIMENSIONS = 8192
 RIDGE = 1e-3
-BATCH = 512
+BATCH = 64
 
 
 def label_of(c: Column) -> Column:
@@ -90,6 +90,10 @@ _PLAINLY_CODE = re.compile(r"^\s*(?:[\w.\[\]\"'$]+\s*(?:=|<-|\+=|-=|:=)\s*\S|\#(
 _SENTENCE = re.compile(r"(?:[^\W\d_]+[,'’]? ){5,}[^\W\d_]+|[぀-ヿ㐀-鿿、ー々]{8,}")
 _END = re.compile(r"(?<=[.!?…])[\s\"'»)\]]+|(?<=[。！？])|\n+|\t+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: what a text must hold for the costly patterns to have a chance
+_MAY_BE_FILE = re.compile(r"\.(?:mzml|mzxml|raw|csv|tsv|txt|py|r|sql|json|xml|xlsx?|zip|d|cfg|ini|log|pdf|png|jpe?g)\b", re.I)
+_MAY_TURN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u3002\u3001\uff01\uff1f\u0400-\u04ff]")
 _KANA, _HAN, _CYRILLIC = re.compile(r"[぀-ヿｦ-ﾟ]"), re.compile(r"[㐀-鿿]"), re.compile(r"[Ѐ-ӿ]")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々〆ー]")
 _TURN = re.compile(r"(?<=[぀-ヿ㐀-鿿。、！？])\s*(?=[A-Za-zÀ-ÿЀ-ӿ])|(?<=[A-Za-zÀ-ÿЀ-ӿ.!?])\s*(?=[぀-ヿ㐀-鿿])|(?<=[A-Za-zÀ-ÿ.!?])\s+(?=[Ѐ-ӿ])|(?<=[Ѐ-ӿ.!?])\s+(?=[A-Za-zÀ-ÿ])")
@@ -98,11 +102,16 @@ _TURN = re.compile(r"(?<=[぀-ヿ㐀-鿿。、！？])\s*(?=[A-Za-zÀ-ÿЀ-ӿ])|
 def prose(text: str) -> str:
     """The text without code, links, file names and figures in brackets."""
     t = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n").replace("\x85", "\n")
-    t = _FENCE.sub("\n", t)
-    t = html.unescape(_HTML_CODE.sub(" ", t))
-    t = _INLINE.sub(" ", t)
-    t = _MARKUP_LINK.sub(" ", t)
-    t = _LINK.sub(" ", t)
+    # (patterns whose fixed part is missing are not run)
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub("\n", t)
+    t = html.unescape(_HTML_CODE.sub(" ", t) if "<" in t else t)
+    if "`" in t:
+        t = _INLINE.sub(" ", t)
+    if "](" in t:
+        t = _MARKUP_LINK.sub(" ", t)
+    if "://" in t or "www." in t.lower():
+        t = _LINK.sub(" ", t)
     lines, code = [], False
     for line in t.split("\n"):
         if _PLAINLY_CODE.search(line):
@@ -113,9 +122,11 @@ def prose(text: str) -> str:
             code = bool(_CODE_LINE.search(line)) or (code and line.startswith(("    ", "\t")))
         lines.append("" if code else line)
     t = "\n".join(lines)
-    t = _TAG.sub(" ", t)
-    t = _PAREN_NUMBERS.sub(" ", t)
-    return _FILE.sub(" ", t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if "(" in t or "[" in t:
+        t = _PAREN_NUMBERS.sub(" ", t)
+    return _FILE.sub(" ", t) if _MAY_BE_FILE.search(t) else t
 
 
 def segments(text: str | None) -> list[str]:
@@ -124,7 +135,7 @@ def segments(text: str | None) -> list[str]:
         return []
     out = []
     for piece in _END.split(prose(text)):
-        for part in _TURN.split(piece):
+        for part in _TURN.split(piece) if _MAY_TURN.search(piece) else (piece,):
             part = part.strip()
             if part and (_WORD.search(part) or _DENSE.search(part)):
                 out.append(part)
@@ -140,12 +151,12 @@ def units_of(segment: str) -> tuple[int, int]:
 # ---------------------------------------------------------------- the kernel
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """0/1 matrix of hashed n-grams, each row divided by the root of its size."""
+def marks(texts: list[str]) -> np.ndarray:
+    """0/1 matrix of hashed n-grams."""
     x = np.zeros((len(texts), DIMENSIONS), np.float32)
     codes, rows = [], []
     for i, t in enumerate(texts):
-        t = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        t = " " + _NOT_LETTERS.sub(" ", t.lower()).strip() + " "
         c = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         codes.append(c)
         rows.append(np.full(len(c), i))
@@ -163,22 +174,37 @@ def presence(texts: list[str]) -> np.ndarray:
             ok = r[:m] == r[n - 1 :]
             z = h * np.uint64(0x9E3779B97F4A7C15)
             x[r[:m][ok], (z[ok] >> np.uint64(40)) % np.uint64(DIMENSIONS)] = 1.0
+    return x
+
+
+def presence(texts: list[str]) -> np.ndarray:
+    """The same, each row divided by the root of its size."""
+    x = marks(texts)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1.0))
     return x
 
 
 @dataclass
 class Model:
-    """Landmarks and weights; a few MB whatever the corpus."""
+    """Landmarks and weights; a few MB whatever the corpus.
+
+    The map is linear: landmarks and weights are folded into one matrix with a column
+    for each language, so that scoring is one narrow product a batch.
+    """
 
     landmarks: np.ndarray
     weights: np.ndarray
 
+    def __post_init__(self) -> None:
+        # the last column counts
+        self.folded = np.concatenate([self.landmarks.T @ self.weights, np.ones((DIMENSIONS, 1), np.float32)], 1)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """One column for each language; the largest is the choice."""
         out = [np.zeros((0, len(LANGUAGES)), np.float32)]
         for s in range(0, len(texts), BATCH):
-            out.append((presence(texts[s : s + BATCH]) @ self.landmarks.T) @ self.weights)
+            y = marks(texts[s : s + BATCH]) @ self.folded
+            out.append(y[:, :-1] / np.sqrt(np.maximum(y[:, -1:], 1.0)))
         return np.concatenate(out)
 
     def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
