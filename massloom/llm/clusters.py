@@ -62,6 +62,49 @@ def _unlinked(nodes: DataFrame, member: DataFrame) -> DataFrame:
     return bucket.select(F.explode("c").alias("p"), "c").select("p", F.explode("c").alias("q")).filter((F.col("p.cell") < F.col("q.cell")) & (F.col("p.component") != F.col("q.component"))).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b")).distinct()
 
 
+def _edge_points(points: DataFrame, right: bool, up: bool, salts: int = 64) -> DataFrame:
+    """Points of each cell that no other one of it exceeds in both directions (of several at one place one).
+
+    Found in salted parts first, so that a cell with any share of the rows is spread.
+    """
+    x, y = F.col("x") if right else -F.col("x"), F.col("y") if up else -F.col("y")
+
+    def outermost(d: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(x.desc(), y.desc())
+        return d.withColumn("_most", F.max(y).over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("_most").isNull() | (y > F.col("_most"))).drop("_most")
+
+    d = points.select("cell", "x", "y").withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
+    return outermost(outermost(d, "cell", "_salt").drop("_salt"), "cell")
+
+
+def _touching(apart: DataFrame, points: DataFrame, tol_x: float, tol_y: float) -> DataFrame:
+    """Those pairs of cells (a, b) that hold two points within tolerance, one in each.
+
+    The cells' boxes decide most: cells in one row or column are near in that coordinate
+    anyway. Of diagonal neighbours only the points at the facing corners can be nearest.
+    """
+    eps = 1e-9
+    box = points.groupBy("cell", "i", "j").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    side = lambda n: box.select(F.col("cell").alias(n), *[F.col(c).alias(f"{n}{c}") for c in ("i", "j", "x0", "x1", "y0", "y1")])
+    q = apart.join(side("a"), "a").join(side("b"), "b")
+    gap = lambda c: F.greatest(F.col(f"a{c}0"), F.col(f"b{c}0")) - F.least(F.col(f"a{c}1"), F.col(f"b{c}1"))
+    span = lambda c: F.greatest(F.col(f"a{c}1"), F.col(f"b{c}1")) - F.least(F.col(f"a{c}0"), F.col(f"b{c}0"))
+    q = q.filter((gap("x") <= tol_x + eps) & (gap("y") <= tol_y + eps))
+    sure = (F.col("ai") == F.col("bi")) | (F.col("aj") == F.col("bj")) | ((span("x") <= tol_x + eps) & (span("y") <= tol_y + eps))
+    q = cut(q.select("a", "b", sure.alias("sure"), (F.col("ai") < F.col("bi")).alias("right"), (F.col("aj") < F.col("bj")).alias("up")))
+    found = q.filter("sure").select("a", "b")
+    for right, up in ((True, True), (True, False)):
+        # a is left of b, or both are taken the other way round
+        open_ = q.filter(~F.col("sure"))
+        ahead = open_.filter(F.col("right") & (F.col("up") == F.lit(up))).select("a", "b", F.col("a").alias("l"), F.col("b").alias("r"))
+        back = open_.filter(~F.col("right") & (F.col("up") == F.lit(not up))).select("a", "b", F.col("b").alias("l"), F.col("a").alias("r"))
+        both = ahead.unionByName(back)
+        own = lambda n, of_right, of_up, both=both: _edge_points(points.join(both.select(F.col(n).alias("cell")).distinct(), "cell", "left_semi"), of_right, of_up).select(F.col("cell").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+        near = (F.abs(F.col("xl") - F.col("xr")) <= tol_x + eps) & (F.abs(F.col("yl") - F.col("yr")) <= tol_y + eps)
+        found = found.unionByName(both.join(own("l", right, up), "l").join(own("r", not right, not up), "r").filter(near).select("a", "b"))
+    return found.distinct()
+
+
 def split_loose(nodes: DataFrame, member: DataFrame, edges: DataFrame, loose: DataFrame) -> DataFrame:
     """(cell, component) of loose components, split around their highest-degree medoids.
 
@@ -100,10 +143,7 @@ def cluster(points: DataFrame, key: str, kind: str, x: str, y: str, tol_x: float
     member = cut(nodes.select("cell").join(linked.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("component")))
     # exact check: what banding left apart is joined where two points really are within tolerance
     apart = _unlinked(nodes, member)
-    left = p.select(F.col("cell").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    right = p.select(F.col("cell").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    eps = 1e-9
-    extra = cut(apart.join(left, "a").join(right, "b").filter((F.abs(F.col("xa") - F.col("xb")) <= tol_x + eps) & (F.abs(F.col("ya") - F.col("yb")) <= tol_y + eps)).select("a", "b").distinct())
+    extra = cut(_touching(apart, p, tol_x, tol_y))
     if extra.take(1):
         ends = extra.join(member.select(F.col("cell").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("cell").alias("b"), F.col("component").alias("cb")), "b")
         renamed = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))

@@ -66,3 +66,18 @@ def test_description_and_empty(spark):
     assert d["size"] == 9 and d["typical"][0] == 5 and len(d["typical"]) == 3
     empty = clusters.cluster(df.filter(F.lit(False)), "feature_id", "polarity", "mz", "rt", 0.015, 15.0)
     assert empty.count() == 0 and clusters.describe(empty).count() == 0
+
+
+def test_corners_of_cells(spark):
+    """Links between diagonal cells, found from the facing corners, equal all pairs of points."""
+    rng = random.Random(11)
+    rows = [(k, rng.choice([1, 2]), rng.choice([1.0, 1.4, 2.2, 2.6]) + rng.uniform(0, 0.3), rng.choice([1.0, 1.5, 2.1]) + rng.uniform(0, 0.3)) for k in range(500)]
+    p = clusters.cells(spark.createDataFrame(rows, "key int, kind int, x double, y double"), "kind", "x", "y", 0.6, 0.6).cache()
+    c = {r["cell"]: r for r in p.select("cell", "kind", "i", "j").distinct().collect()}
+    pairs = [(a, b) for a in c for b in c if a < b and c[a]["kind"] == c[b]["kind"]]
+    pts = {}
+    for r in p.collect():
+        pts.setdefault(r["cell"], []).append((r["x"], r["y"]))
+    want = {(a, b) for a, b in pairs if any(abs(x - u) <= 0.6 and abs(y - v) <= 0.6 for x, y in pts[a] for u, v in pts[b])}
+    got = {(r["a"], r["b"]) for r in clusters._touching(spark.createDataFrame(pairs, "a long, b long"), p, 0.6, 0.6).collect()}
+    assert got == want and 0 < len(want) < len(pairs)
