@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,21 +50,84 @@ def candidate_envelopes(mz: np.ndarray, first: int, charge: int, steps: list[tup
     return done
 
 
-def first_members(mz: np.ndarray, i: int, charge: int, steps: list[tuple[float, float]], tol: float, longest: int, allowed: np.ndarray) -> list[int]:
-    """The feature itself, then lighter ones of whose envelope it may be a later member."""
+def telling_elements(elements: Sequence[str]) -> list[str]:
+    """Elements that shape where an envelope has its maximum.
+
+    Those with more than two isotopes; of those with two, a nominal mass apart or two,
+    the ones whose heavier isotope prevails, and the one with the most of it otherwise.
+    """
+    out = [e for e in elements if len(chem.ISOTOPES[e]) > 2]
+    for apart in (1, 2):
+        two = [(e, chem.ISOTOPES[e]) for e in elements if len(chem.ISOTOPES[e]) == 2 and chem.ISOTOPES[e][1][0] - chem.ISOTOPES[e][0][0] == apart]
+        out += [e for e, x in two if x[1][2] > x[0][2]]
+        minor = [(x[1][2], e) for e, x in two if x[1][2] <= x[0][2]]
+        out += [max(minor)[1]] if minor else []
+    return out
+
+
+def lighter_rules(bounds: dict[str, tuple[int, int]], max_mass: float, longest: int, p_tol: float = 0.1, bin_size: float = 100.0) -> dict[int, list[tuple[float, float, float, float]]]:
+    """For each bin of mass the rules by which a strong member finds its envelope's lightest one.
+
+    A rule (least and greatest mass difference, least and greatest ratio of abundances to
+    the lightest) sums up the k-th members of all compositions in the bin that are about
+    as abundant as the lightest member or more so.
+    """
+    offset = np.arange(longest)
+    mass, p, excess = np.zeros(1), np.eye(1, longest), np.zeros((1, longest))
+    for e in telling_elements(list(bounds)):
+        lo, hi = bounds[e]
+        light = chem.ISOTOPES[e][0][1]
+        hi = min(hi, int(max_mass // light))
+        if hi < lo:
+            return {}
+        own = [chem.Formula.parse(f"{e}{n}").envelope(longest) if n else (np.zeros(longest), np.eye(1, longest)[0]) for n in range(lo, hi + 1)]
+        q = np.array([x[1] for x in own])
+        # masses above the lightest member, weighed by abundance
+        dq = q * np.array([np.where(x[0] > 0, x[0] - light * n, 0.0) for n, x in zip(range(lo, hi + 1), own)])
+        mass = (mass[:, None] + light * np.arange(lo, hi + 1)).ravel()
+        fits = mass <= max_mass
+        left, right = np.divmod(np.flatnonzero(fits), hi - lo + 1)
+        mass, new_p, new_excess = mass[fits], np.zeros((fits.sum(), longest)), np.zeros((fits.sum(), longest))
+        for k in offset:
+            for j in range(k + 1):
+                new_p[:, k] += p[left, j] * q[right, k - j]
+                new_excess[:, k] += excess[left, j] * q[right, k - j] + p[left, j] * dq[right, k - j]
+        p, excess = new_p, new_excess
+    rules: dict[int, list[tuple[float, float, float, float]]] = {}
+    number = (mass // bin_size).astype(int)
+    ratio = p / p[:, :1]
+    step = excess / np.where(p > 0, p, 1.0)
+    for k in offset[1:]:
+        strong = ratio[:, k] >= 1.0 - p_tol
+        for b in np.unique(number[strong]):
+            at = strong & (number == b)
+            rules.setdefault(int(b), []).append((step[at, k].min(), step[at, k].max(), ratio[at, k].min(), ratio[at, k].max()))
+    return rules
+
+
+def first_members(mz: np.ndarray, area: np.ndarray, i: int, charge: int, rules: dict[int, list[tuple[float, float, float, float]]], tol: float, p_tol: float, allowed: np.ndarray, bin_size: float = 100.0) -> list[int]:
+    """The feature itself, then lighter ones of whose envelope it may be the strongest member by a rule."""
     out = [i]
-    for lo, hi in steps[: longest - 1]:
+    for lo, hi, low, high in rules.get(int((mz[i] + chem.ELECTRON) * charge // bin_size), []):
         a, b = np.searchsorted(mz, [mz[i] - hi / charge - tol, mz[i] - lo / charge + tol])
-        out += [j for j in range(a, b) if allowed[j] and j < i and j not in out]
+        out += [j for j in range(a, b) if allowed[j] and j < i and j not in out and low - p_tol <= area[i] / area[j] <= high + p_tol]
     return out
 
 
+@lru_cache(maxsize=8)
+def lighter_rules_of(bounds: tuple[tuple[str, int, int], ...], longest: int, p_tol: float) -> dict[int, list[tuple[float, float, float, float]]]:
+    """The rules up to the mass that the bounds reach, made once in a process."""
+    own = {e: (lo, hi) for e, lo, hi in bounds}
+    return lighter_rules(own, sum(chem.ISOTOPES[e][0][1] * hi for e, (_, hi) in own.items()), longest, p_tol)
+
+
 def annotate_sample(mz: np.ndarray, area: np.ndarray, group: np.ndarray, bounds: dict[str, tuple[int, int]], max_charge: int = 3, tol: float = 0.01, p_tol: float = 0.1, longest: int = 5) -> np.ndarray:
     """(label, index, charge) of each feature: the most intense free feature takes the longest valid envelope that it is a member of.
 
     ``group`` tells which features elute together. Features are sorted by mass.
     """
     steps = isotope_steps(list(bounds))
+    rules = lighter_rules_of(tuple(sorted((e, *b) for e, b in bounds.items())), longest, p_tol)
     out = np.full((len(mz), 3), -1)
     free = np.ones(len(mz), bool)
     label = 0
@@ -73,7 +137,7 @@ def annotate_sample(mz: np.ndarray, area: np.ndarray, group: np.ndarray, bounds:
         best: tuple[int, list[int]] | None = None
         for z in range(1, max_charge + 1):
             allowed = free & (group == group[i])
-            for c in (c for j in first_members(mz, i, z, steps, tol, longest, allowed) for c in candidate_envelopes(mz, j, z, steps, tol, longest, allowed) if i in c):
+            for c in (c for j in first_members(mz, area, i, z, rules, tol, p_tol, allowed) for c in candidate_envelopes(mz, j, z, steps, tol, longest, allowed) if i in c):
                 n = chem.validate_envelope(list((mz[c] + chem.ELECTRON) * z), list(area[c] / area[c].sum()), bounds, tol * z, p_tol, tol * z)
                 if n > max(1, c.index(i)) and (best is None or n > len(best[1])):
                     best = (z, c[:n])

@@ -140,16 +140,42 @@ STEPS: dict[str, tuple[Callable[..., DataFrame], str, tuple[str, ...]]] = {
 }
 
 
-def build_pipeline(steps: Sequence[dict]) -> Callable[[DataFrame], DataFrame]:
+#: sample types whose mapped classes are a parameter's default, and types that must be mapped for it
+DEFAULTS: dict[str, dict[str, str]] = {
+    "correct_blanks": {"blanks": "blank"},
+    "prevalence": {"classes": "sample"},
+    "variation": {"classes": "qc"},
+    "dratio": {"qc": "qc", "study": "sample"},
+    "dilution": {"dqc": "dqc"},
+}
+
+
+def step_of(step: dict, mapping: dict[str, list[str]] | None = None) -> Step:
+    """A step from {"name": ..., parameters}; classes that aren't given come from the mapping."""
+    p = dict(step)
+    name = p.pop("name", None)
+    if name not in STEPS:
+        raise ValueError(f"unknown step {name!r}")
+    for parameter, kind in DEFAULTS.get(name, {}).items():
+        if parameter not in p and mapping and mapping.get(kind):
+            p[parameter] = mapping[kind]
+    run, kind, needs = STEPS[name]
+    return Step(name, run, kind, p, needs)
+
+
+def check_needs(step: Step, matrix: DataFrame, mapping: dict[str, list[str]] | None = None) -> None:
+    """ValueError for an empty matrix, or for columns or sample types that the step needs and that are missing."""
+    if lacks := [c for c in step.needs if c not in matrix.columns]:
+        raise ValueError(f"{step.name} needs {', '.join(lacks)}")
+    if lacks := [kind for parameter, kind in DEFAULTS.get(step.name, {}).items() if not step.parameters.get(parameter)]:
+        raise ValueError(f"{step.name} needs classes of {', '.join(lacks)}")
+    if not matrix.take(1):
+        raise ValueError(f"{step.name} needs a matrix with values")
+
+
+def build_pipeline(steps: Sequence[dict], mapping: dict[str, list[str]] | None = None) -> Callable[[DataFrame], DataFrame]:
     """One lazy function of a list of {"name": ..., parameters}; unknown names are refused."""
-    chain = []
-    for s in steps:
-        p = dict(s)
-        name = p.pop("name")
-        if name not in STEPS:
-            raise ValueError(f"unknown step {name!r}")
-        run, kind, needs = STEPS[name]
-        chain.append(Step(name, run, kind, p, needs))
+    chain = [step_of(s, mapping) for s in steps]
 
     def pipeline(matrix: DataFrame) -> DataFrame:
         for s in chain:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from massloom.operators import correspondence, matrix, peaks, raw
@@ -50,6 +51,50 @@ class Parameters:
             raise ValueError("min_fraction lies between 0 and 1")
 
 
+class Run:
+    """A run whose signals a step may swap for others, the first ones staying at hand."""
+
+    def __init__(self, signals: DataFrame):
+        self.original = self.current = signals
+
+    def replace(self, step: Callable[[DataFrame], DataFrame]) -> Run:
+        """Puts the step's result in place of the current signals."""
+        self.current = step(self.current)
+        return self
+
+    def reset(self) -> Run:
+        """Back to the signals as they were first."""
+        self.current = self.original
+        return self
+
+
+class RunCache:
+    """Signals of single samples, kept by name in executors' memory and disk until cleared."""
+
+    def __init__(self, signals: DataFrame, most: int = 32):
+        self.signals, self.most = signals, most
+        self._kept: dict[str, DataFrame] = {}
+
+    def get(self, sample: str) -> DataFrame:
+        """Signals of a sample, read once; the one kept longest makes way when there are too many."""
+        if sample not in self._kept:
+            if len(self._kept) >= self.most:
+                self._kept.pop(next(iter(self._kept))).unpersist()
+            self._kept[sample] = self.signals.filter(F.col("sample") == sample).persist()
+        return self._kept[sample]
+
+    def put(self, sample: str, signals: DataFrame) -> None:
+        """Keeps signals under a name, such as those of a virtual sample."""
+        if sample in self._kept:
+            self._kept.pop(sample).unpersist()
+        self._kept[sample] = signals.persist()
+
+    def clear(self) -> None:
+        for kept in self._kept.values():
+            kept.unpersist()
+        self._kept.clear()
+
+
 class Assay:
     """Runs the steps over signals (sample, scan, time, mz, spint) and samples (sample, class)."""
 
@@ -57,17 +102,21 @@ class Assay:
         self.spark, self.signals, self.samples, self.path = spark, signals, samples, path
         self.p = parameters or Parameters()
         self._detect = detect or (lambda s: raw.regions(s, self.p.mz_tol, self.p.max_missing, self.p.min_length, self.p.min_intensity))
+        self._detector = f"{detect.__module__}.{detect.__qualname__}" if detect else "regions"
         self.ran: list[str] = []
 
     def _key(self, step: str) -> str:
-        return json.dumps({"steps": STEPS[: STEPS.index(step) + 1], **asdict(self.p)}, sort_keys=True)
+        # the plans of the inputs and the detector's name stand for what is read and how
+        inputs = [self.signals.semanticHash(), self.samples.semanticHash(), self._detector]
+        return json.dumps({"steps": STEPS[: STEPS.index(step) + 1], "inputs": inputs, **asdict(self.p)}, sort_keys=True)
 
     def _kept(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The step's table, made anew unless it was made with the same parameters."""
         out, mark = os.path.join(self.path, step), os.path.join(self.path, f"{step}-key")
         try:
             same = self.spark.read.text(mark).first()[0] == self._key(step)
-        except Exception:
+        except AnalysisException:
+            # never made
             same = False
         if not same:
             make().write.mode("overwrite").parquet(out)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.operators import batch, curation, dart, graph, matrix, metrics, peaks, raw
+from massloom.operators import batch, container, curation, dart, graph, matrix, metrics, peaks, raw
 from massloom.operators.hotdeck import usable_area, usable_class
 from massloom.session import table
 
@@ -432,6 +432,50 @@ def mat_replicates(spark, d):
     return matrix.average_replicates(long_matrix(spark, d), "subject", STUDY).withColumn("value", r4("value"))
 
 
+def study_tables(spark: SparkSession, d: str) -> container.Study:
+    """All studies as one: cells of features with mass and retention, and of known injections."""
+    f = points(spark, d).withColumnRenamed("feature_id", "feature")
+    s = samples(spark, d)
+    m = long_matrix(spark, d).select("sample", "feature", "value").join(f.select("feature"), "feature", "left_semi").join(s.select("sample"), "sample", "left_semi")
+    return container.Study.of(m, f, s, {"qc": QC, "blank": BLANK, "dqc": DILUTION})
+
+
+@query("mat_sorted", "SELECT feature_id AS feature, row_number() OVER (ORDER BY mz, feature_id) - 1 AS position FROM f")
+def mat_sorted(spark, d):
+    return study_tables(spark, d).sort("mz", "feature").ordered("feature").select("feature", "position")
+
+
+@query("mat_groups", "SELECT class, count(*) AS samples FROM s GROUP BY 1")
+def mat_groups(spark, d):
+    return study_tables(spark, d).groups()
+
+
+@query(
+    "mat_annotations",
+    """WITH a AS (SELECT CAST(floor(mz) AS BIGINT) AS l, feature_id, dense_rank() OVER (PARTITION BY CAST(floor(mz) AS BIGINT) ORDER BY mz) - 1 AS i, charge FROM f WHERE charge > 0)
+       SELECT f.feature_id AS feature, mz, coalesce(l, -1) AS envelope_label, coalesce(i, -1) AS envelope_index, coalesce(a.charge, -1) AS charge FROM f LEFT JOIN a ON a.feature_id = f.feature_id""",
+)
+def mat_annotations(spark, d):
+    from pyspark.sql import Window
+
+    f = points(spark, d).withColumnRenamed("feature_id", "feature")
+    place = F.dense_rank().over(Window.partitionBy(F.floor("mz")).orderBy("mz")) - 1
+    a = f.filter("charge > 0").select("feature", F.floor("mz").alias("envelope_label"), place.cast("bigint").alias("envelope_index"), "charge")
+    return container.attach_annotations(f.select("feature", "mz", "charge"), a).select("feature", "mz", "envelope_label", "envelope_index", "charge")
+
+
+@query(
+    "mat_flags",
+    f"""WITH x AS (SELECT m.* FROM m JOIN f ON f.feature_id = m.feature JOIN s ON s.sample = m.sample),
+       p AS (SELECT feature FROM (SELECT class, feature, count(*) FILTER (value > 0) / count(*) AS dr FROM x WHERE class IN ('qc', 'blank') GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(dr < 0.9 OR dr > 1)),
+       v AS (SELECT feature FROM x WHERE class = 'qc' GROUP BY 1 HAVING NOT coalesce(stddev_samp(value) / nullif(avg(value), 0) BETWEEN 0 AND 0.25, false))
+       SELECT feature_id AS feature, feature_id IN (SELECT feature FROM p) AS prevalence, feature_id IN (SELECT feature FROM v) AS variation FROM f""",
+)
+def mat_flags(spark, d):
+    steps = [{"name": "prevalence", "classes": ["qc", "blank"], "low": 0.9}, {"name": "variation"}]
+    return study_tables(spark, d).process(steps, mode="flag").features.select("feature", "prevalence", "variation")
+
+
 @query("mat_islands", "WITH x AS (SELECT feature_id, polarity, mz, CASE WHEN mz - lag(mz) OVER (PARTITION BY polarity ORDER BY mz) <= 0.1 THEN NULL ELSE mz END AS n FROM f) SELECT feature_id, last_value(n IGNORE NULLS) OVER (PARTITION BY polarity ORDER BY mz ROWS UNBOUNDED PRECEDING) AS island FROM x")
 def mat_islands(spark, d):
     return graph.islands(points(spark, d), ["polarity"], "mz", 0.1, "island", 25.0).select("feature_id", "island")

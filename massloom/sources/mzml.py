@@ -66,7 +66,12 @@ def parse(path: str, what: str = "spectra") -> Iterator[tuple]:
     """Rows of a file: spectra with their scan number from 0, or chromatograms with time in seconds."""
     sample = os.path.splitext(os.path.basename(path))[0]
     scan = 0
-    for _, e in ElementTree.iterparse(path, events=("end",)):
+    above: list = []
+    for event, e in ElementTree.iterparse(path, events=("start", "end")):
+        if event == "start":
+            above.append(e)
+            continue
+        above.pop()
         if _tag(e) == "spectrum":
             if what == "spectra":
                 p = _params(e)
@@ -80,12 +85,13 @@ def parse(path: str, what: str = "spectra") -> Iterator[tuple]:
                     a.get(MZ_ARRAY, np.zeros(0)).tolist(), a.get(INTENSITY_ARRAY, np.zeros(0)).tolist(),
                 )
             scan += 1
-            e.clear()
+            # taken out of its list, which else would hold every emptied element
+            above[-1].remove(e)
         elif _tag(e) == "chromatogram":
             if what == "chromatograms":
                 a = _arrays(e)
                 yield sample, e.get("id"), a.get(TIME_ARRAY, np.zeros(0)).tolist(), a.get(INTENSITY_ARRAY, np.zeros(0)).tolist()
-            e.clear()
+            above[-1].remove(e)
 
 
 class _File(InputPartition):

@@ -23,16 +23,20 @@ def spots(signals: DataFrame, threshold: float, gap: str = "5 seconds", late: st
 TRACES = "sample string, trace int, first double, last double, n int, top double"
 
 
-def linked_traces(signals: DataFrame, tol: float = 0.01, idle: float = 5.0) -> DataFrame:
+def linked_traces(signals: DataFrame, tol: float = 0.01, idle: float = 5.0, silent_ms: int = 60_000) -> DataFrame:
     """Traces linked by mass as scans arrive, given out when ``idle`` seconds pass without a signal.
 
     The state of a sample is its open traces: running mean mass, limits, count and top.
+    A sample from which nothing comes for ``silent_ms`` of processing time gives out all
+    its open traces; what comes later opens new ones, whose numbers go on.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         open_ = [list(x) for x in zip(*state.get[:6])] if state.exists else []
         number = state.get[6] if state.exists else 0
         done = []
+        if state.hasTimedOut:
+            done, open_, frames = open_, [], iter(())
         for pdf in frames:
             for time, mz, y in pdf.sort_values(["time", "mz"])[["time", "mz", "spint"]].itertuples(index=False):
                 keep = []
@@ -49,7 +53,9 @@ def linked_traces(signals: DataFrame, tol: float = 0.01, idle: float = 5.0) -> D
                     number += 1
         cols = [list(x) for x in zip(*open_)] if open_ else [[], [], [], [], [], []]
         state.update((*cols, number))
+        if open_:
+            state.setTimeoutDuration(silent_ms)
         yield pd.DataFrame([(key[0], t[5], t[1], t[2], t[3], t[4]) for t in done], columns=["sample", "trace", "first", "last", "n", "top"])
 
     held = "mean array<double>, first array<double>, last array<double>, n array<int>, top array<double>, trace array<int>, next int"
-    return signals.groupBy("sample").applyInPandasWithState(update, TRACES, held, "append", "NoTimeout")
+    return signals.groupBy("sample").applyInPandasWithState(update, TRACES, held, "append", "ProcessingTimeTimeout")
