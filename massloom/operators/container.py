@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators import curation, matrix
-from massloom.session import small
+from massloom.operators.graph import positions
 
 #: fixed values: the sample types that a mapping may name
 SAMPLE_TYPES = ("qc", "blank", "sample", "dqc")
@@ -169,23 +169,6 @@ class Study:
         return self._with(matrix=out, features=f.join(out.select("feature").distinct(), "feature", "left_semi"))
 
 
-def positions(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds position, from 0 in the order of ``by``, without a sort of all rows in one task.
-
-    Rows are sorted by range; each partition's rows are numbered from the counts of those before it.
-    """
-    from pyspark.sql import Window
-
-    from massloom.session import cut
-
-    parts = cut(table.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # a row for each partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
-    return parts.withColumn("_own", own).join(small(cut(before)), "_part").withColumn("position", (F.col("_own") + F.col("_before")).cast("bigint")).drop("_part", "_own", "_before")
-
-
 def attach_annotations(features: DataFrame, annotations: DataFrame, key: str = "feature") -> DataFrame:
     """Features with envelope_label, envelope_index, charge and count of their consensus annotation; -1 where there is none."""
     made = [c for c in ("envelope_label", "envelope_index", "charge", "count") if c in annotations.columns]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.functions import kernels
-from massloom.operators.graph import components
+from massloom.operators.graph import components, positions
 from massloom.operators.raw import window_join
 from massloom.session import cut
 
@@ -123,9 +123,7 @@ def match_features(features: DataFrame, key: str, mz_tol: float, rt_tol: float,
     f = cut(features.join(c, key))
     species = species_count(f, sizes, fraction)
     got = assign_species(f.join(species, "cluster"), key, max_deviation)
-    w = Window.partitionBy(F.lit(0)).orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each cluster
-    offset = species.withColumn("offset", F.coalesce(F.sum("species").over(w), F.lit(0)).cast("long"))
+    offset = positions(species, ["cluster"], "species").withColumnRenamed("position", "offset")
     labelled = got.join(offset, "cluster").select(key, F.when(F.col("species_no") >= 0, F.col("offset") + F.col("species_no")).otherwise(F.lit(-1)).alias("label"))
     return features.select(key).join(labelled, key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
 

@@ -80,13 +80,13 @@ def crude_clusters(signals: DataFrame, gap_ppm: float, by: Sequence[str] = ("sam
     of it and stitched at the edges, so one group may hold any share of the rows; the
     numbers come from the runs alone, of which there are few.
     """
-    from massloom.operators.graph import islands
+    from massloom.operators.graph import islands, positions
 
     x = F.log("mz")
     # mz2 / mz1 - 1 <= gap is log(mz2) - log(mz1) <= log(1 + gap)
     s = signals.withColumn("_x", x)
     named = islands(s, list(by), "_x", float(np.log1p(gap_ppm / 1e6)), "_run", width)
-    runs = named.select(*by, "_run").distinct().withColumn("crude", F.dense_rank().over(Window.partitionBy(*by).orderBy("_run")) - 1) if by else named.select("_run").distinct().withColumn("crude", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("_run")) - 1)
+    runs = named.select(*by, "_run").distinct().withColumn("crude", F.dense_rank().over(Window.partitionBy(*by).orderBy("_run")) - 1) if by else positions(named.select("_run").distinct(), ["_run"]).withColumnRenamed("position", "crude")
     return named.join(runs, [*by, "_run"]).drop("_x", "_run")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.session import cut
+from massloom.session import cut, small
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -70,3 +70,18 @@ def _same(keys: list[str]) -> Column:
     for k in keys:
         cond = cond & F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}"))
     return cond
+
+
+def positions(table: DataFrame, by: list[str], size: str | None = None) -> DataFrame:
+    """Adds position: in the order of ``by``, from 0, how many rows (or how much of ``size``) come before each.
+
+    Rows are sorted by range, and each partition's start is the sum of those before it,
+    so that no task sees all rows.
+    """
+    amount = F.col(size) if size else F.lit(1)
+    parts = cut(table.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    # a row for each partition
+    start = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_own", own).join(small(cut(start)), "_part").withColumn("position", (F.col("_own") + F.col("_start")).cast("bigint")).drop("_part", "_own", "_start")

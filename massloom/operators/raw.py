@@ -124,12 +124,25 @@ def closest_scan(signals: DataFrame, times: DataFrame, by: Sequence[str] = ("sam
 
 
 def accumulate(signals: DataFrame, width: float, start: float, end: float, left: float, right: float) -> DataFrame:
-    """Mean spectrum over [start, end) minus its surroundings [left, right), by cells of mass; what is left above 0."""
+    """Summed spectrum over [start, end) minus its surroundings [left, right), by cells of mass; what is left above 0."""
     s = signals.filter((F.col("time") >= left) & (F.col("time") < right)).withColumn("cell", F.floor(F.col("mz") / width))
     sign = F.when((F.col("time") >= start) & (F.col("time") < end), 1.0).otherwise(-1.0)
     return s.groupBy("sample", "cell").agg(F.avg("mz").alias("mz"), F.sum(sign * F.col("spint")).alias("spint")).filter("spint > 0")
 
 
+def accumulate_linked(signals: DataFrame, tol: float, start: float, end: float, left: float, right: float) -> DataFrame:
+    """The same by linked masses: signals of a sample whose masses follow each other within ``tol`` are one ion.
+
+    Returns (sample, ion, mz, spint): the ion's smallest and mean mass, and its sum, above 0.
+    """
+    from massloom.operators.graph import islands
+
+    s = signals.filter((F.col("time") >= left) & (F.col("time") < right)).select("sample", "time", "mz", "spint")
+    named = islands(s, ["sample"], "mz", tol, "ion", 16 * 1024 * tol)
+    sign = F.when((F.col("time") >= start) & (F.col("time") < end), 1.0).otherwise(-1.0)
+    return named.filter("ion is not null").groupBy("sample", "ion").agg(F.avg("mz").alias("mz"), F.sum(sign * F.col("spint")).alias("spint")).filter("spint > 0")
+
+
 def above(signals: DataFrame, least: float = 0.0) -> DataFrame:
     return signals.filter(F.col("spint") > least)
 

@@ -40,8 +40,9 @@ def long_matrix(spark: SparkSession, d: str) -> DataFrame:
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """Readings as signals of the runs they were recorded in."""
     r = table(spark, d, "chromatogram").filter("time is not null").withColumn("spint", usable_area(F.col("spint"))).filter("spint is not null")
-    t = table(spark, d, "trace").select("trace_id", "mz")
-    return r.select("sample", "trace_id", "scan", "time", "spint").distinct().join(t, "trace_id")
+    # a reading is a trace's scan, whose sample stands with the trace: four numbers are made distinct
+    t = table(spark, d, "trace").select("trace_id", "sample", "mz")
+    return r.select("trace_id", "scan", "time", "spint").distinct().join(t, "trace_id").select("trace_id", "sample", "scan", "time", "spint", "mz")
 
 
 def spectra(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +189,17 @@ def raw_accumulate(spark, d):
     return raw.accumulate(signals(spark, d), 0.5, 300.0, 500.0, 200.0, 600.0).select("sample", "cell", r4("mz", 5).alias("mz"), r4("spint", 3).alias("spint"))
 
 
+@query(
+    "raw_accumulate_linked",
+    """WITH u AS (SELECT DISTINCT sample, mz FROM g WHERE time >= 200 AND time < 600), n AS (SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY sample ORDER BY mz) <= 0.5 THEN NULL ELSE mz END AS b FROM u),
+       l AS (SELECT sample, mz, last_value(b IGNORE NULLS) OVER (PARTITION BY sample ORDER BY mz ROWS UNBOUNDED PRECEDING) AS ion FROM n)
+       SELECT g.sample, ion, round(avg(g.mz), 5) AS mz, round(sum(CASE WHEN time >= 300 AND time < 500 THEN spint ELSE -spint END), 3) AS spint FROM g JOIN l ON l.sample = g.sample AND l.mz = g.mz
+       WHERE time >= 200 AND time < 600 GROUP BY 1, 2 HAVING sum(CASE WHEN time >= 300 AND time < 500 THEN spint ELSE -spint END) > 0""",
+)
+def raw_accumulate_linked(spark, d):
+    return raw.accumulate_linked(signals(spark, d), 0.5, 300.0, 500.0, 200.0, 600.0).select("sample", "ion", r4("mz", 5).alias("mz"), r4("spint", 3).alias("spint"))
+
+
 @query(
     "raw_mz_deltas",
     """WITH x AS (SELECT sample, (lead(mz) OVER (PARTITION BY sample ORDER BY mz) - mz) / mz * 1e6 AS p FROM sp)

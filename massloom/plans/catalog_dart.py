@@ -309,11 +309,14 @@ def fill_knn(spark, d):
 
 @query("fill_integration")
 def fill_integration(spark, d):
-    s = signals(spark, d).select("sample", "mz", F.col("scan").cast("double").alias("time"), "spint")
-    names = table(spark, d, "sample_metadata").select(F.trim("sample").alias("name"), F.col("sample_id").alias("id")).distinct()
-    s = s.withColumn("name", F.trim("sample")).join(names, "name").select(F.col("id").alias("sample"), "mz", "time", "spint")
-    f = points(spark, d).select(F.col("feature_id").alias("feature"), "mz", F.lit(100.0).alias("rt"), F.lit(20.0).alias("rt_std"), F.lit(80.0).alias("rt_start"), F.lit(120.0).alias("rt_end"))
-    return correspondence.fill_by_integration(long_matrix(spark, d), f, s, 0.02).filter("code > 0")
+    from massloom.operators import grid, units
+
+    r = grid.readings_in_seconds(table(spark, d, "chromatogram"), table(spark, d, "trace")).select("trace_id", F.col("t").alias("time"), F.col("y").alias("spint")).distinct()
+    names = table(spark, d, "sample_metadata").select(F.trim("sample").alias("name"), F.col("sample_id").alias("sample")).distinct()
+    t = table(spark, d, "trace").select("trace_id", F.trim("sample").alias("name"), "mz").join(names, "name")
+    f = units.feature_units(table(spark, d, "feature_metadata"), table(spark, d, "study")).filter("rt_sec is not null and mz is not null and not isnan(mz)")
+    f = f.select(F.col("feature_id").alias("feature"), "mz", F.col("rt_sec").alias("rt"), F.lit(5.0).alias("rt_std"), F.coalesce("rt_start_sec", F.col("rt_sec") - 10).alias("rt_start"), F.coalesce("rt_end_sec", F.col("rt_sec") + 10).alias("rt_end"))
+    return correspondence.fill_by_integration(long_matrix(spark, d), f, r.join(t, "trace_id").select("sample", "mz", "time", "spint"), 0.02).filter("code > 0")
 
 
 # ---------------------------------------------------------------- annotation and chemistry
