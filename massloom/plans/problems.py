@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massloom.operators import grid, hotdeck, units
+from massloom.plans import unit_sql
 from massloom.session import table
 
 
@@ -13,7 +15,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
-    return grid.regular(table(spark, d, "chromatogram"), table(spark, d, "trace"))
+    s = grid.regular(table(spark, d, "chromatogram"), table(spark, d, "trace"))
+    # (a shift keeps the rounding of halves alike in SQL)
+    return s.withColumn("value", F.round(F.col("value") + 1e-8, 5))
 
 
 def p3_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +45,7 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_traces(spark: SparkSession, d: str) -> DataFrame:
-    return units.trace_units(table(spark, d, "chromatogram"), table(spark, d, "trace"))
+    return units.trace_units(table(spark, d, "chromatogram"), table(spark, d, "trace")).withColumn("unit_margin", F.round("unit_margin", 4))
 
 
 QUERIES = {"p2_found": p2_found, "p2_series": p2_series, "p3_found": p3_found, "p3_areas": p3_areas, "p3_classes": p3_classes, "p5_found": p5_found, "p5_features": p5_features, "p5_traces": p5_traces}
@@ -76,4 +80,5 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'sample_metadata', sample_id FROM sample_metadata
         WHERE class IS NULL OR lower(trim(class)) NOT IN (SELECT lower(trim(class)) FROM sample_class)""",
+    **unit_sql.SQL,
 }
