@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import clusters, languages, matching, mixing, tokens
+from massloom.llm import clusters, languages, matching, mixing, oracles, tokens
 from massloom.operators import units
 from massloom.session import cut, table
 
@@ -23,7 +23,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.describe(_ions(spark, d))
+    c = clusters.describe(_ions(spark, d))
+    return c.withColumn("x", F.round(F.col("x") + 1e-9, 6)).withColumn("y", F.round(F.col("y") + 1e-7, 4))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -63,4 +64,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p7_mix": p7_mix, "p7_shares": p7_shares, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
