@@ -161,13 +161,13 @@ def cluster(points: DataFrame, key: str, kind: str, x: str, y: str, tol_x: float
 def describe(clusters: DataFrame, typical: int = 3, salts: int = 32) -> DataFrame:
     """(cluster_id, size, x, y, typical): mean position and the keys nearest to it, nearest first.
 
-    Distances are in the cluster's own spread; what differs by less than a billionth is a
+    Distances are in the cluster's own spread; what differs by less than a millionth is a
     tie, which goes to the smaller key. The nearest are picked in salted parts
     first, so a cluster of any size is never sorted as one.
     """
     mid = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     parts = [F.coalesce(F.pow((F.col(a) - F.col(f"c{a}")) / F.nullif(F.col(f"s{a}"), F.lit(0.0)), F.lit(2.0)), F.lit(0.0)) for a in ("x", "y")]
-    far = clusters.join(mid, "cluster_id").withColumn("_d", F.round(reduce(lambda a, b: a + b, parts), 9)).withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    far = clusters.join(mid, "cluster_id").withColumn("_d", F.round(reduce(lambda a, b: a + b, parts), 6)).withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
     far = far.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id", "_salt").orderBy("_d", "key"))).filter(F.col("_r") <= typical)
     top = far.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "key"))), 1, typical).alias("_t")).select("cluster_id", F.col("_t.key").alias("typical"))
     return mid.join(top, "cluster_id").select("cluster_id", "size", F.col("cx").alias("x"), F.col("cy").alias("y"), "typical")

@@ -52,6 +52,6 @@ SQL = {
     "p1_found": f"{MATCHES} SELECT pr.feature_id, pr.partner_id FROM pr JOIN sd ON sd.partner_id = pr.partner_id WHERE CASE WHEN given = 0 THEN studies = 1 ELSE agrees AND injections = 1 END",
     "p4_found": f"{unit_sql.IONS} SELECT cluster_id, k AS feature_id FROM cl QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1",
     "p4_clusters": f"""{unit_sql.IONS}, me AS (SELECT cluster_id, cl.k, mz AS x, rt_sec AS y, avg(mz) OVER w AS cx, avg(rt_sec) OVER w AS cy, stddev_pop(mz) OVER w AS sx, stddev_pop(rt_sec) OVER w AS sy, count(*) OVER w AS n FROM cl JOIN pt ON pt.k = cl.k WINDOW w AS (PARTITION BY cluster_id)),
-        ds AS (SELECT *, round(coalesce(pow((x - cx) / nullif(sx, 0), 2), 0) + coalesce(pow((y - cy) / nullif(sy, 0), 2), 0), 9) AS d FROM me WHERE n > 1)
+        ds AS (SELECT *, round(coalesce(pow((x - cx) / nullif(sx, 0), 2), 0) + coalesce(pow((y - cy) / nullif(sy, 0), 2), 0), 6) AS d FROM me WHERE n > 1)
         SELECT cluster_id, count(*) AS size, round(avg(x) + 1e-9, 6) AS x, round(avg(y) + 1e-7, 4) AS y, list(k ORDER BY d, k)[:3] AS typical FROM ds GROUP BY 1""",
 }
