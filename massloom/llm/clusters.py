@@ -30,10 +30,6 @@ def _tokens() -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda b: F.xxhash64("kind", F.col("i") + a, F.col("j") + b))))
 
 
-def _least_hash(band: int) -> Column:
-    return F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(band))))
-
-
 def cells(points: DataFrame, kind: str, x: str, y: str, tol_x: float, tol_y: float) -> DataFrame:
     """Adds kind, i, j and cell to points with both coordinates; the rest is dropped."""
     ok = is_number(F.col(x)) & is_number(F.col(y)) & F.col(kind).isNotNull()
@@ -46,7 +42,12 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
 
     jaccard is that of the whole sets.
     """
-    banded = nodes.withColumn("tokens", _tokens()).select("cell", "kind", "i", "j", F.posexplode(F.array(*[_least_hash(b) for b in range(BANDS)])).alias("band", "least"))
+    # plain expressions of 16 columns, which are compiled; in as many tasks as shuffles have, since there is little to read and much to hash
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    names = [f"t{a}_{b}" for a in range(SIDE) for b in range(SIDE)]
+    hashed = nodes.select("cell", "kind", "i", "j", *[F.xxhash64("kind", F.col("i") + a, F.col("j") + b).alias(f"t{a}_{b}") for a in range(SIDE) for b in range(SIDE)])
+    least = [F.least(*[F.xxhash64(t, F.lit(band)) for t in names]) for band in range(BANDS)]
+    banded = hashed.select("cell", "kind", "i", "j", F.posexplode(F.array(*least)).alias("band", "least"))
     bucket = banded.groupBy("band", "least").agg(F.collect_set(F.struct("cell", "kind", "i", "j")).alias("c")).filter(F.size("c") > 1)
     pairs = bucket.select(F.explode("c").alias("p"), "c").select("p", F.explode("c").alias("q")).filter(F.col("p.cell") < F.col("q.cell")).distinct()
     over = [F.greatest(F.lit(0), SIDE - F.abs(F.col(f"p.{d}") - F.col(f"q.{d}"))) for d in ("i", "j")]
