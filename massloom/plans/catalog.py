@@ -40,9 +40,11 @@ def long_matrix(spark: SparkSession, d: str) -> DataFrame:
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """Readings as signals of the runs they were recorded in."""
     r = table(spark, d, "chromatogram").filter("time is not null").withColumn("spint", usable_area(F.col("spint"))).filter("spint is not null")
+    t = table(spark, d, "trace")
     # a reading is a trace's scan, whose sample stands with the trace: four numbers are made distinct
-    t = table(spark, d, "trace").select("trace_id", "sample", "mz")
-    return r.select("trace_id", "scan", "time", "spint").distinct().join(t, "trace_id").select("trace_id", "sample", "scan", "time", "spint", "mz")
+    of_trace = ["sample"] if "sample" in t.columns else []
+    own = r.select("trace_id", "scan", "time", "spint", *[c for c in ("sample",) if c not in of_trace]).distinct()
+    return own.join(t.select("trace_id", "mz", *of_trace), "trace_id").select("trace_id", "sample", "scan", "time", "spint", "mz")
 
 
 def spectra(spark: SparkSession, d: str) -> DataFrame:
