@@ -95,14 +95,16 @@ def best_unit(df: DataFrame, costs: dict[str, list[Column]]) -> DataFrame:
     """Adds unit, unit_margin and unit_unique, and each unit's sum of costs as _cost_<unit>."""
     for u, cs in costs.items():
         df = df.withColumn(f"_cost_{u}", reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cs]).cast("double"))
-    ranked = F.sort_array(F.array(*[F.struct(F.col(f"_cost_{u}").alias("cost"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(costs)]))
-    df = df.withColumn("_ranked", ranked)
-    return (
-        df.withColumn("unit", F.col("_ranked")[0]["unit"])
-        .withColumn("unit_margin", F.col("_ranked")[1]["cost"] - F.col("_ranked")[0]["cost"])
-        .withColumn("unit_unique", F.col("unit_margin") >= UNIQUE_MARGIN)
-        .drop("_ranked")
-    )
+    # plain comparisons of numbers: a sort of structs would be run again for each use of the unit
+    c = [F.col(f"_cost_{u}") for u in costs]
+    pairs = [(F.least(x, y), F.greatest(x, y)) for x, y in zip(c[::2], c[1::2])]
+    (lo, hi), (lo2, hi2) = pairs
+    df = df.withColumn("_least", F.least(lo, lo2)).withColumn("_next", F.least(F.greatest(lo, lo2), hi, hi2))
+    unit = F.lit(None).cast("string")
+    for u in reversed(list(costs)):
+        unit = F.when(F.col(f"_cost_{u}") == F.col("_least"), F.lit(u)).otherwise(unit)
+    margin = F.col("_next") - F.col("_least")
+    return df.withColumn("unit", unit).withColumn("unit_margin", margin).withColumn("unit_unique", margin >= UNIQUE_MARGIN).drop("_least", "_next")
 
 
 def factor(unit: Column) -> Column:
