@@ -94,9 +94,10 @@ def _touching(apart: DataFrame, points: DataFrame, tol_x: float, tol_y: float) -
     sure = (F.col("ai") == F.col("bi")) | (F.col("aj") == F.col("bj")) | ((span("x") <= tol_x + eps) & (span("y") <= tol_y + eps))
     q = cut(q.select("a", "b", sure.alias("sure"), (F.col("ai") < F.col("bi")).alias("right"), (F.col("aj") < F.col("bj")).alias("up")))
     found = q.filter("sure").select("a", "b")
-    for right, up in ((True, True), (True, False)):
+    open_ = q.filter(~F.col("sure"))
+    # (with nothing left to decide, none of the rest is planned)
+    for right, up in ((True, True), (True, False)) if open_.take(1) else ():
         # a is left of b, or both are taken the other way round
-        open_ = q.filter(~F.col("sure"))
         ahead = open_.filter(F.col("right") & (F.col("up") == F.lit(up))).select("a", "b", F.col("a").alias("l"), F.col("b").alias("r"))
         back = open_.filter(~F.col("right") & (F.col("up") == F.lit(not up))).select("a", "b", F.col("b").alias("l"), F.col("a").alias("r"))
         both = ahead.unionByName(back)
