@@ -177,7 +177,8 @@ def feature_units(features: DataFrame, study: DataFrame) -> DataFrame:
     out = out.withColumn("unit", F.when(has, F.col("unit"))).withColumn("unit_margin", F.when(has, F.col("unit_margin"))).withColumn("unit_unique", F.when(has, F.col("unit_unique")))
     for c in ("rt", "rt_start", "rt_end"):
         out = out.withColumn(f"{c}_sec", F.when(is_number(F.col(c)), to_seconds(F.col(c), F.col("unit"))))
-    return out.select(*base.columns, *made)
+    # written once: a filter on unit or seconds would be planned with all of the costs put in for each use of them
+    return cut(out.select(*base.columns, *made))
 
 
 def reading_class(time: Column, time_unit: Column) -> Column:

@@ -124,3 +124,11 @@ def test_declared_seconds_off_the_clock(spark):
     at = [30.017 + i * 1.213 for i in range(300)]
     r, t = readings(spark, [(1, i, round(x / 60, 5), "s" if 100 <= i < 120 else "min", 1.0) for i, x in enumerate(at)])
     assert {x["unit"] for x in units.trace_units(r, t).collect()} == {"min"}
+
+
+def test_a_filter_on_seconds_leaves_the_costs_alone(spark):
+    """What chose the unit isn't planned again for each use of the result (p1_found took too much of the driver's memory)."""
+    out = units.feature_units(spark.createDataFrame([(1, "A", 5.12345, "MIN", 5.01234, 5.31234, None)], FEATURES), spark.createDataFrame([("A", 600, None)], STUDY))
+    out = out.filter(units.is_number(F.col("rt_sec")) & (F.col("unit") != "s"))
+    assert "_cost_" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["rt_sec"] for r in out.collect()] == [307.407]
