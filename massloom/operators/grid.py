@@ -28,14 +28,17 @@ def readings_in_seconds(readings: DataFrame, trace: DataFrame) -> DataFrame:
     Usable are readings with a finite time and a finite intensity of at least 0; traces
     without a step above 0 have no grid. A reading without a scan number, or with one below 0, is in block -1.
     """
-    unit = units.trace_units(readings, trace).groupBy("trace_id").agg(F.max("last_scan").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("class"), units.factor(F.col("unit"))))).alias("_factors"))
+    # a class, or where it holds several clocks, its places
+    parts = units.trace_parts(readings, trace).withColumn("_place", F.explode_outer("places")).withColumn("_key", F.concat_ws("|", "class", F.col("_place").cast("string")))
+    unit = parts.groupBy("trace_id").agg(F.max("last_scan").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("_key"), units.factor(F.col("unit"))))).alias("_factors"))
     step = trace.groupBy("trace_id").agg(F.max("grid_seconds").cast("long").alias("grid_seconds")).filter("grid_seconds > 0")
     about = unit.join(step, "trace_id").withColumn("_block", F.explode(F.sequence(F.lit(-1).cast("long"), F.coalesce(F.floor(F.col("_last") / SCAN_BLOCK), F.lit(-1).cast("long")))))
     r = readings.filter(units.is_number(F.col("time")) & units.is_number(F.col("spint")) & (F.col("spint") >= 0)).select("trace_id", "scan", "time", "time_unit", "spint")
     r = r.withColumn("_block", F.coalesce(F.greatest(F.floor(F.col("scan") / SCAN_BLOCK), F.lit(-1).cast("long")), F.lit(-1).cast("long")))
     return (
         r.join(about, ["trace_id", "_block"])
-        .withColumn("t", F.round(F.col("time") * F.element_at("_factors", units.reading_class(F.col("time"), F.col("time_unit"))), 6))
+        .withColumn("_class", units.reading_class(F.col("time"), F.col("time_unit")))
+        .withColumn("t", F.round(F.col("time") * F.coalesce(*[F.try_element_at("_factors", k) for k in (F.col("_class"), F.concat_ws("|", "_class", units.reading_place(F.col("scan"), F.col("time")).cast("string")))]), 6))
         .select("trace_id", "_block", "scan", "grid_seconds", "t", F.col("spint").alias("y"))
     )
 

@@ -132,3 +132,31 @@ def test_a_filter_on_seconds_leaves_the_costs_alone(spark):
     out = out.filter(units.is_number(F.col("rt_sec")) & (F.col("unit") != "s"))
     assert "_cost_" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r["rt_sec"] for r in out.collect()] == [307.407]
+
+
+def test_units_that_change_within_a_class(spark):
+    """Undeclared and with as many decimals before and after, so that only the clock tells the units apart."""
+    at = [20.017 + i * 1.213 for i in range(200)]
+    write = {"s": lambda x: round(x, 3), "min": lambda x: round(x / 60, 3), "ms": lambda x: round(x * 1000, 3)}
+    changes = [("s", "min", 100, 200), ("min", "s", 100, 200), ("s", "min", 90, 110), ("ms", "min", 30, 200), ("min", "ms", 5, 200), ("min", "s", 62, 200), ("min", "s", 63, 64), ("s", "min", 0, 30)]
+    rows = [(k, i, write[b if lo <= i < hi else a](x), None, 1.0) for k, (a, b, lo, hi) in enumerate(changes) for i, x in enumerate(at)]
+    r, t = spark.createDataFrame(rows, READINGS), spark.createDataFrame([(k, "S", 2, None) for k in range(len(changes))], TRACE)
+    got = {}
+    for x in units.trace_units(r, t).collect():
+        got[x["trace_id"], x["unit"]] = got.get((x["trace_id"], x["unit"]), 0) + x["n"]
+    assert got == {(k, u): n for k, (a, b, lo, hi) in enumerate(changes) for u, n in ((a, 200 - hi + lo), (b, hi - lo))}
+    empty = spark.createDataFrame([], FEATURES)
+    assert {x["record_id"] for x in units.found(units.feature_units(empty, spark.createDataFrame([], STUDY)), units.trace_units(r, t)).collect()} == set(range(len(changes)))
+    off = {(x["trace_id"], x["scan"]): x["t"] for x in grid.readings_in_seconds(r, t).withColumnRenamed("_block", "b").collect()}
+    assert len(off) == len(rows) and all(abs(off[k, i] - x) < 0.04 for k in range(len(changes)) for i, x in enumerate(at))
+
+
+def test_gaps_are_no_other_clock(spark):
+    """A trace that pauses for long, or starts at once, keeps its one unit; so do the few numbers with fewer decimals."""
+    pause = lambda n, m: [1.017 + i * 1.213 for i in range(n)] + [1900.017 + i * 1.213 for i in range(m)]
+    traces = [pause(20, 200), pause(2, 1), pause(5, 2), pause(200, 1)]
+    rows = [(10 * k + f, i, round(x / f, 3), None, 1.0) for k, at in enumerate(traces) for f in (1, 60) for i, x in enumerate(at)]
+    # whole numbers from 0 on, scans from -1 on
+    rows += [(99, i - 1, i, None, 1.0) for i in range(300)]
+    r, t = spark.createDataFrame([(a, b, float(c), d, e) for a, b, c, d, e in rows], READINGS), spark.createDataFrame([(k, "S", 2, None) for k in {x[0] for x in rows}], TRACE)
+    assert {x["count"] for x in units.trace_units(r, t).groupBy("trace_id", "class").count().collect()} == {1}
