@@ -22,23 +22,51 @@ SCAN_BLOCK = 8192
 PERIOD_BLOCK = 2048
 
 
+def _factors(readings: DataFrame, trace: DataFrame) -> DataFrame:
+    """(trace_id, _last, _factors): the last scan, and seconds by class or, where it holds several clocks, by its places."""
+    parts = units.trace_parts(readings, trace).withColumn("_place", F.explode_outer("places")).withColumn("_key", F.concat_ws("|", "class", F.col("_place").cast("string")))
+    return parts.groupBy("trace_id").agg(F.max("last_scan").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("_key"), units.factor(F.col("unit"))))).alias("_factors"))
+
+
+def _block() -> Column:
+    return F.coalesce(F.greatest(F.floor(F.col("scan") / SCAN_BLOCK), F.lit(-1).cast("long")), F.lit(-1).cast("long"))
+
+
+def _by_block(about: DataFrame) -> DataFrame:
+    """A row for each block of scans of a trace."""
+    return about.withColumn("_block", F.explode(F.sequence(F.lit(-1).cast("long"), F.coalesce(F.floor(F.col("_last") / SCAN_BLOCK), F.lit(-1).cast("long")))))
+
+
+def _seconds() -> Column:
+    place = F.concat_ws("|", "_class", units.reading_place(F.col("scan"), F.col("time")).cast("string"))
+    return F.round(F.col("time") * F.coalesce(F.try_element_at("_factors", F.col("_class")), F.try_element_at("_factors", place)), 6)
+
+
+def times_in_seconds(readings: DataFrame, trace: DataFrame) -> DataFrame:
+    """Every row of ``readings``: (trace_id, scan, time, time_sec), whatever its intensity and its trace's step.
+
+    time_sec is NULL for a time that isn't a finite number.
+    """
+    r = readings.select("trace_id", "scan", "time", "time_unit").withColumn("_block", _block())
+    r = r.join(_by_block(_factors(readings, trace)), ["trace_id", "_block"], "left").withColumn("_class", units.reading_class(F.col("time"), F.col("time_unit")))
+    return r.select("trace_id", "scan", "time", F.when(units.is_number(F.col("time")), _seconds()).alias("time_sec"))
+
+
 def readings_in_seconds(readings: DataFrame, trace: DataFrame) -> DataFrame:
     """Usable readings: (trace_id, _block, scan, grid_seconds, t, y), t in seconds.
 
     Usable are readings with a finite time and a finite intensity of at least 0; traces
     without a step above 0 have no grid. A reading without a scan number, or with one below 0, is in block -1.
     """
-    # a class, or where it holds several clocks, its places
-    parts = units.trace_parts(readings, trace).withColumn("_place", F.explode_outer("places")).withColumn("_key", F.concat_ws("|", "class", F.col("_place").cast("string")))
-    unit = parts.groupBy("trace_id").agg(F.max("last_scan").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("_key"), units.factor(F.col("unit"))))).alias("_factors"))
+    unit = _factors(readings, trace)
     step = trace.groupBy("trace_id").agg(F.max("grid_seconds").cast("long").alias("grid_seconds")).filter("grid_seconds > 0")
-    about = unit.join(step, "trace_id").withColumn("_block", F.explode(F.sequence(F.lit(-1).cast("long"), F.coalesce(F.floor(F.col("_last") / SCAN_BLOCK), F.lit(-1).cast("long")))))
+    about = _by_block(unit.join(step, "trace_id"))
     r = readings.filter(units.is_number(F.col("time")) & units.is_number(F.col("spint")) & (F.col("spint") >= 0)).select("trace_id", "scan", "time", "time_unit", "spint")
-    r = r.withColumn("_block", F.coalesce(F.greatest(F.floor(F.col("scan") / SCAN_BLOCK), F.lit(-1).cast("long")), F.lit(-1).cast("long")))
+    r = r.withColumn("_block", _block())
     return (
         r.join(about, ["trace_id", "_block"])
         .withColumn("_class", units.reading_class(F.col("time"), F.col("time_unit")))
-        .withColumn("t", F.round(F.col("time") * F.coalesce(*[F.try_element_at("_factors", k) for k in (F.col("_class"), F.concat_ws("|", "_class", units.reading_place(F.col("scan"), F.col("time")).cast("string")))]), 6))
+        .withColumn("t", _seconds())
         .select("trace_id", "_block", "scan", "grid_seconds", "t", F.col("spint").alias("y"))
     )
 

@@ -48,7 +48,11 @@ def p5_traces(spark: SparkSession, d: str) -> DataFrame:
     return units.trace_units(table(spark, d, "chromatogram"), table(spark, d, "trace")).withColumn("unit_margin", F.round("unit_margin", 4))
 
 
-QUERIES = {"p2_found": p2_found, "p2_series": p2_series, "p3_found": p3_found, "p3_areas": p3_areas, "p3_classes": p3_classes, "p5_found": p5_found, "p5_features": p5_features, "p5_traces": p5_traces}
+def p5_readings(spark: SparkSession, d: str) -> DataFrame:
+    return grid.times_in_seconds(table(spark, d, "chromatogram"), table(spark, d, "trace"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_series": p2_series, "p3_found": p3_found, "p3_areas": p3_areas, "p3_classes": p3_classes, "p5_found": p5_found, "p5_features": p5_features, "p5_traces": p5_traces, "p5_readings": p5_readings}
 #: every donor of the widest block by distance; the first five fill
 _DONORS = """r AS ({records}),
     p AS (SELECT a.record, d.record AS donor, d.value, {apart} + coalesce(abs(a.run - d.run), 100) / (coalesce(abs(a.run - d.run), 100) + 10) AS distance

@@ -86,6 +86,8 @@ SQL: dict[str, str] = {
     "p5_features": f"WITH {FEATURES} SELECT feature_id, rt, unit, unit_unique, rt_sec, rt_start_sec, rt_end_sec FROM fu",
     "p5_traces": f"WITH {TRACES} SELECT trace_id, coalesce(declared, '?') || '|' || dec AS class, n, s1 AS last_scan, unit, round(margin, 4) AS unit_margin, margin >= {units.UNIQUE_MARGIN} AS unit_unique FROM gu",
     "p5_found": f"WITH {FEATURES}, {TRACES[TRACES.index('rd AS'):]} SELECT 'feature_metadata' AS table_name, feature_id AS record_id FROM fu WHERE unit <> 's' UNION ALL SELECT DISTINCT 'chromatogram', trace_id FROM gu WHERE unit <> 's'",
+    "p5_readings": f"""WITH {TRACES} SELECT c.trace_id, c.scan, c.time, CASE WHEN isfinite(c.time) THEN round(c.time * un.sec, 6) END AS time_sec FROM chromatogram c
+        LEFT JOIN gu ON gu.trace_id = c.trace_id AND gu.declared IS NOT DISTINCT FROM {spelled("c.time_unit")} AND gu.dec = {_written("c.time")} LEFT JOIN un ON un.unit = gu.unit""",
     "p2_found": f"WITH {_PERIODS} SELECT trace_id, k AS period_no FROM pe",
     "p2_series": f"""WITH {_PERIODS} SELECT trace_id, k AS period_no, CAST(k * grid AS DOUBLE) AS t_sec, n AS n_readings, round(total / n + 1e-8, 5) AS value, 'observed' AS state FROM pa
         UNION ALL SELECT trace_id, k, CAST(k * grid AS DOUBLE), 0, CASE WHEN tb - ta <= 5 * grid THEN round(ya + (yb - ya) * ((k + 0.5) * grid - ta) / (tb - ta) + 1e-8, 5) END, CASE WHEN tb - ta <= 5 * grid THEN 'interpolated' ELSE 'missing' END FROM pe""",

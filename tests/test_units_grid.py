@@ -160,3 +160,14 @@ def test_gaps_are_no_other_clock(spark):
     rows += [(99, i - 1, i, None, 1.0) for i in range(300)]
     r, t = spark.createDataFrame([(a, b, float(c), d, e) for a, b, c, d, e in rows], READINGS), spark.createDataFrame([(k, "S", 2, None) for k in {x[0] for x in rows}], TRACE)
     assert {x["count"] for x in units.trace_units(r, t).groupBy("trace_id", "class").count().collect()} == {1}
+
+
+def test_every_reading_comes_out_in_seconds(spark):
+    """Also those without a usable intensity, of a trace without a step or without a row, and beyond one block of scans."""
+    nan, at = float("nan"), [20.017 + i * 1.213 for i in range(100)]
+    rows = [(k, i + 20000 * (k == 2), round(x / 60, 5), "min", (1.0, None, nan, -1.0)[i % 4]) for k in (1, 2, 3) for i, x in enumerate(at)] + [(1, 200, None, "min", 1.0), (1, 201, nan, "min", 1.0), (None, 1, 1.5, "min", 1.0), (4, None, 2.5, "min", 1.0)]
+    out = grid.times_in_seconds(spark.createDataFrame(rows, READINGS), spark.createDataFrame([(1, "S", 2, None), (2, "S", None, None)], TRACE)).collect()
+    assert len(out) == len(rows)
+    got = {(x["trace_id"], x["scan"]): x["time_sec"] for x in out}
+    assert all(abs(got[k, i + 20000 * (k == 2)] - x) < 0.001 for k in (1, 2, 3) for i, x in enumerate(at))
+    assert got[1, 200] is None and got[1, 201] is None and got[None, 1] is None and got[4, None] == 150.0
