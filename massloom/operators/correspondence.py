@@ -128,17 +128,27 @@ def match_features(features: DataFrame, key: str, mz_tol: float, rt_tol: float,
     return features.select(key).join(labelled, key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
 
 
+def _to_fill(matrix: DataFrame, features: DataFrame) -> DataFrame:
+    """Cells without a value, once each, with what is known of their feature."""
+    return matrix.filter("value is null").select("sample", "feature").distinct().join(features.select("feature", "mz", "rt", "rt_std", "rt_start", "rt_end"), "feature")
+
+
+def signals_to_fill(matrix: DataFrame, features: DataFrame, signals: DataFrame, mz_tol: float) -> DataFrame:
+    """Each of ``signals`` (sample, mz, ...) with each feature that its own sample lacks and whose window it lies in."""
+    targets = _to_fill(matrix, features).select("sample", F.col("feature").alias("target"), F.col("mz").alias("mz_target"))
+    return window_join(signals, targets, mz_tol, by=["sample"]).withColumnRenamed("target", "feature")
+
+
 def fill_by_integration(matrix: DataFrame, features: DataFrame, signals: DataFrame, mz_tol: float, n_dev: float = 3.0, estimate: bool = True) -> DataFrame:
     """Missing cells from the raw signals: (sample, feature, value, code): 0 observed, 1 peak found, 2 estimated.
 
-    Chromatograms are extracted only for cells without a value; a peak within n_dev
+    Chromatograms are extracted only for cells without a value: a signal meets no feature
+    but those that its own sample lacks. A peak within n_dev
     deviations of the feature's retention gives its area, else the area between the
     feature's limits is the estimate, or 0.
     """
-    need = matrix.filter("value is null").select("sample", "feature").join(features.select("feature", "mz", "rt", "rt_std", "rt_start", "rt_end"), "feature")
-    targets = features.select(F.col("feature").alias("target"), F.col("mz").alias("mz_target"))
-    hit = window_join(signals, targets, mz_tol).withColumnRenamed("target", "feature").join(need.select("sample", "feature"), ["sample", "feature"], "left_semi")
-    eic = hit.groupBy("sample", "feature", "time").agg(F.sum("spint").alias("spint"))
+    need = _to_fill(matrix, features)
+    eic = signals_to_fill(matrix, features, signals, mz_tol).groupBy("sample", "feature", "time").agg(F.sum("spint").alias("spint"))
     arrays = eic.groupBy("sample", "feature").agg(F.array_sort(F.collect_list(F.struct("time", "spint"))).alias("p")).join(need, ["sample", "feature"])
     schema = T.StructType([*[f for f in arrays.schema.fields if f.name in ("sample", "feature")], T.StructField("area", T.DoubleType()), T.StructField("code", T.IntegerType())])
     names = schema.names

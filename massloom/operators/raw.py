@@ -39,12 +39,12 @@ def chromatogram_total(signals: DataFrame, kind: str = "tic", keys: Sequence[str
     return signals.groupBy(*keys).agg(F.coalesce(agg, F.lit(0.0)).alias(kind))
 
 
-def window_join(signals: DataFrame, targets: DataFrame, tol: float, closed: bool = False) -> DataFrame:
-    """Each signal with each target (target, mz_target) within tol: [mz - tol, mz + tol), or closed on both ends."""
-    t = targets.select("target", "mz_target", F.explode(F.sequence(F.floor((F.col("mz_target") - tol) / tol), F.floor((F.col("mz_target") + tol) / tol))).alias("_cell"))
+def window_join(signals: DataFrame, targets: DataFrame, tol: float, closed: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Each signal with each target (target, mz_target) of its own group within tol: [mz - tol, mz + tol), or closed on both ends."""
+    t = targets.select(*by, "target", "mz_target", F.explode(F.sequence(F.floor((F.col("mz_target") - tol) / tol), F.floor((F.col("mz_target") + tol) / tol))).alias("_cell"))
     s = signals.withColumn("_cell", F.floor(F.col("mz") / tol))
     high = F.col("mz") <= F.col("mz_target") + tol if closed else F.col("mz") < F.col("mz_target") + tol
-    return s.join(t, "_cell").filter((F.col("mz") >= F.col("mz_target") - tol) & high).drop("_cell")
+    return s.join(t, [*by, "_cell"]).filter((F.col("mz") >= F.col("mz_target") - tol) & high).drop("_cell")
 
 
 def extracted_chromatograms(signals: DataFrame, targets: DataFrame, window: float, accumulator: str = "sum", fill_missing: bool = True) -> DataFrame:

@@ -31,10 +31,14 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.col("sample_id").alias("sample")).agg(F.max("study").alias("study"), F.lower(F.max("clean_class")).alias("class"), F.max("run_order").alias("ord"), F.max("batch").alias("batch"), F.max(matrix.null_if_nan(F.col("dilution"))).alias("dilution"), F.max("id").alias("subject"))
 
 
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """The data matrix in long form: (sample, feature, value), each cell once."""
+    return table(spark, d, "data_matrix").groupBy("cell_id").agg(F.max("sample_id").alias("sample"), F.max("feature_id").alias("feature"), F.max(usable_area(F.col("area"))).alias("value")).drop("cell_id")
+
+
 def long_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The data matrix in long form with its samples' metadata."""
-    c = table(spark, d, "data_matrix").groupBy("cell_id").agg(F.max("sample_id").alias("sample"), F.max("feature_id").alias("feature"), F.max(usable_area(F.col("area"))).alias("value")).drop("cell_id")
-    return c.join(samples(spark, d), "sample", "left")
+    return cells(spark, d).join(samples(spark, d), "sample", "left")
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from massloom.functions import chem
 from massloom.operators import annotation, correspondence, dart, matrix, peaks, raw
 from massloom.plans import catalog
 from massloom.plans.catalog import QC, BLANK, SHIFTS, STUDY, long_matrix, points, r4, signals, spectra, targets
-from massloom.session import table
+from massloom.session import cut, small, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -311,12 +311,16 @@ def fill_knn(spark, d):
 def fill_integration(spark, d):
     from massloom.operators import grid, units
 
-    r = grid.readings_in_seconds(table(spark, d, "chromatogram"), table(spark, d, "trace")).select("trace_id", F.col("t").alias("time"), F.col("y").alias("spint")).distinct()
     names = table(spark, d, "sample_metadata").select(F.trim("sample").alias("name"), F.col("sample_id").alias("sample")).distinct()
     t = table(spark, d, "trace").select("trace_id", F.trim("sample").alias("name"), "mz").join(names, "name")
     f = units.feature_units(table(spark, d, "feature_metadata"), table(spark, d, "study")).filter("rt_sec is not null and mz is not null and not isnan(mz)")
     f = f.select(F.col("feature_id").alias("feature"), "mz", F.col("rt_sec").alias("rt"), F.lit(5.0).alias("rt_std"), F.coalesce("rt_start_sec", F.col("rt_sec") - 10).alias("rt_start"), F.coalesce("rt_end_sec", F.col("rt_sec") + 10).alias("rt_end"))
-    return correspondence.fill_by_integration(long_matrix(spark, d), f, r.join(t, "trace_id").select("sample", "mz", "time", "spint"), 0.02).filter("code > 0")
+    m = cut(catalog.cells(spark, d).filter("value is null"))
+    # a trace's unit is found from its own readings: those of traces in no missing cell's window stay where they are
+    wanted = small(cut(correspondence.signals_to_fill(m, f, t, 0.02).select("trace_id").distinct()))
+    own, trace = (table(spark, d, x).join(wanted, "trace_id", "left_semi") for x in ("chromatogram", "trace"))
+    r = grid.readings_in_seconds(own, trace).select("trace_id", F.col("t").alias("time"), F.col("y").alias("spint")).distinct()
+    return correspondence.fill_by_integration(m, f, r.join(t, "trace_id").select("sample", "mz", "time", "spint"), 0.02)
 
 
 # ---------------------------------------------------------------- annotation and chemistry
