@@ -286,6 +286,73 @@ def best_frac(x: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(errors))])
 
 
+#: numbers that an array of the kernels over rows holds at most
+ROW_NUMBERS = 1 << 20
+
+
+def lowess_rows(x: np.ndarray, y: np.ndarray, frac: float = 2 / 3, rounds: int = 3) -> np.ndarray:
+    """``lowess`` of each row of x and y (rows, points)."""
+    g, n = x.shape
+    if n <= 3 or not g:
+        return np.array(y, float)
+    if n * n > ROW_NUMBERS:
+        return np.array([lowess(a, b, frac, rounds) for a, b in zip(x, y)])
+    most = ROW_NUMBERS // (n * n)
+    if g > most:
+        return np.concatenate([lowess_rows(x[i : i + most], y[i : i + most], frac, rounds) for i in range(0, g, most)])
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    k = min(n, max(2, int(math.ceil(frac * n - 1e-9))))
+    xs, ys = x[:, None, :], y[:, None, :]
+    d = np.abs(xs - x[:, :, None])
+    h = np.partition(d, k - 1, axis=2)[:, :, k - 1 : k]
+    tricube = (1 - np.minimum(np.divide(d, h, out=np.ones_like(d), where=h > 0), 1) ** 3) ** 3
+    near = np.where(h > 0, np.where(d < h, tricube, 0.0), d == 0)
+    robust, fit, on = np.ones((g, n)), y.copy(), np.ones(g, bool)
+    for _ in range(rounds + 1):
+        r = robust[:, None, :]
+        w = r * near
+        w = np.where(w.sum(2, keepdims=True) <= 0, r * (d <= h) + 1e-12 * (d <= h), w)
+        total = w.sum(2)
+        mx, my = (w * xs).sum(2) / total, (w * ys).sum(2) / total
+        dx = xs - mx[:, :, None]
+        sxx = (w * dx**2).sum(2)
+        slope = np.divide((w * dx * ys).sum(2), sxx, out=np.zeros_like(sxx), where=sxx > 1e-12)
+        fit = np.where(on[:, None], my + slope * (x - mx), fit)
+        e = y - fit
+        s = np.median(np.abs(e), axis=1)[:, None]
+        on &= s[:, 0] > 0
+        if not on.any():
+            break
+        u = np.clip(np.divide(e, 6 * s, out=np.zeros_like(e), where=s > 0), -1, 1)
+        robust = np.where(on[:, None], (1 - u**2) ** 2, robust)
+    return fit
+
+
+def best_frac_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``best_frac`` of each row of x, which ascends, and y (rows, points)."""
+    g, n = x.shape
+    if n <= 4 or not g:
+        return np.ones(g)
+    most = max(1, ROW_NUMBERS // (n * n))
+    if g > most:
+        return np.concatenate([best_frac_rows(x[i : i + most], y[i : i + most]) for i in range(0, g, most)])
+    grid = np.unique(np.round(np.linspace(max(4 / n, 0.2), 1.0, 6), 4))
+    keep = np.array([np.delete(np.arange(n), i) for i in range(1, n - 1)])
+    xs, ys, at = x[:, keep].reshape(-1, n - 1), y[:, keep].reshape(-1, n - 1), x[:, 1:-1].reshape(-1, 1)
+    rows = np.arange(len(xs))
+    a = (xs <= at).sum(1) - 1
+    z = np.minimum(a + 1, n - 2)
+    errors = []
+    for f in grid:
+        fit = lowess_rows(xs, ys, f)
+        lo, x0 = fit[rows, a], xs[rows, a]
+        rise = np.divide(fit[rows, z] - lo, xs[rows, z] - x0, out=np.zeros_like(lo), where=z > a)
+        off = ((rise * (at[:, 0] - x0) + lo).reshape(g, -1) - y[:, 1:-1]) ** 2
+        # added one after the other, as best_frac does
+        errors.append(np.cumsum(off, axis=1)[:, -1])
+    return grid[np.argmin(np.array(errors), axis=0)]
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Assignment of rows to columns with the least total cost (shortest augmenting paths)."""
     c = np.asarray(cost, float)

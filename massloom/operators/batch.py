@@ -6,12 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.functions import kernels
+from massloom.operators.matrix import null_if_nan
 from massloom.operators.metrics import ratio
 
+#: rows of a task that are corrected together
+GATHER_ROWS = 50_000
+
 
 def sample_blocks(samples: DataFrame, correctors: Sequence[str], process: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds block_type (0 corrector, 1 process, 2 other) and block_number along the run order."""
@@ -94,23 +99,65 @@ def median_ratio(matrix: DataFrame, qc: Sequence[str], by: Sequence[str] = ()) -
 def correct_by_template(matrix: DataFrame, qc: Sequence[str], by: Sequence[str] = (), how: str = "linear", method: str = "multiplicative", first_n: int | None = None, frac: float | None = None) -> DataFrame:
     """Correction by the level between smoothed controls: multiplied or shifted to their mean (of the first ones).
 
-    A group is one feature in one batch, as in correct_drift.
+    A group is one feature in one batch, as in correct_drift. Groups come in their order
+    and many at a time, and those with as many usable controls are smoothed together;
+    the rows of groups with fewer than four pass through as they are.
     """
     if method not in ("multiplicative", "additive") or how not in ("linear", "splines"):
         raise ValueError("method is multiplicative or additive, how is linear or splines")
-    keys = [*by, "batch", "feature"]
-    m = matrix.select(*keys, "sample", F.col("ord").cast("double").alias("ord"), "value", F.coalesce(F.col("class").isin(list(qc)), F.lit(False)).alias("is_qc"))
+    # numbers first: most rows are ordered by them alone
+    keys = ["feature", "batch", *by]
+    m = matrix.select(*by, "batch", "feature", "sample", null_if_nan(F.col("ord").cast("double")).alias("ord"), "value", F.coalesce(F.col("class").isin(list(qc)), F.lit(False)).alias("is_qc"))
     schema = m.drop("is_qc").schema
 
-    def correct(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "sample"])
-        x, y = pdf["ord"].to_numpy(float), pdf["value"].to_numpy(float)
-        use = pdf["is_qc"].to_numpy(bool) & np.isfinite(y) & np.isfinite(x)
-        if use.sum() >= 4:
-            smooth = kernels.lowess(x[use], y[use], frac or kernels.best_frac(x[use], y[use]))
-            level = kernels.interpolated_level(x[use], smooth, x, how)
-            mean = smooth[:first_n].mean() if first_n else smooth.mean()
-            pdf["value"] = np.maximum(y * np.divide(mean, level, out=np.zeros_like(level), where=level > 0) if method == "multiplicative" else y + mean - level, 0)
-        return pdf.drop(columns="is_qc")
-
-    return m.groupBy(*keys).applyInPandas(correct, schema)
+    def correct(t: pa.Table, start: np.ndarray) -> pa.Table:
+        x, y, is_qc = (t[c].to_numpy() for c in ("ord", "value", "is_qc"))
+        x, y = x.astype(float), y.astype(float)
+        use = is_qc.astype(bool) & np.isfinite(y) & np.isfinite(x)
+        controls = np.flatnonzero(use)
+        first, end = np.searchsorted(controls, start), np.searchsorted(controls, [*start[1:], len(y)])
+        number = end - first
+        for n in np.unique(number[number >= 4]):
+            groups = np.flatnonzero(number == n)
+            at = controls[first[groups][:, None] + np.arange(n)]
+            qx, qy = x[at], y[at]
+            span = np.full(len(groups), frac) if frac else kernels.best_frac_rows(qx, qy)
+            smooth = np.empty_like(qy)
+            for f in np.unique(span):
+                smooth[span == f] = kernels.lowess_rows(qx[span == f], qy[span == f], f)
+            means = (smooth[:, :first_n] if first_n else smooth).mean(1)
+            for g, gx, gy, mean in zip(groups, qx, smooth, means):
+                own = slice(start[g], start[g + 1] if g + 1 < len(start) else len(y))
+                level = kernels.interpolated_level(gx, gy, x[own], how)
+                y[own] = np.maximum(y[own] * np.divide(mean, level, out=np.zeros_like(level), where=level > 0) if method == "multiplicative" else y[own] + mean - level, 0)
+        at = t.schema.get_field_index("value")
+        return t.set_column(at, t.schema.field(at), pa.array(y, from_pandas=True).cast(t.schema.field(at).type, safe=False)).drop_columns("is_qc")
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            code = t[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def run(batches):
+        held, rows, limit = [], 0, GATHER_ROWS
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= limit:
+                t = pa.Table.from_batches(held)
+                start = starts(t)
+                # the last group may go on
+                if start[-1] > 0:
+                    yield from correct(t.slice(0, start[-1]), start[:-1]).to_batches()
+                    held = t.slice(start[-1]).to_batches()
+                    rows = t.num_rows - start[-1]
+                limit = max(GATHER_ROWS, 2 * rows)
+        if rows:
+            t = pa.Table.from_batches(held)
+            yield from correct(t, starts(t)).to_batches()
+
+    ordered = m.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("ord"), F.asc_nulls_last("sample"))
+    return ordered.mapInArrow(run, schema)
